@@ -20,7 +20,10 @@ FUNCTIONS = {
     "pan_runs(txt STRING) RETURNS ARRAY<STRING>": f"regexp_extract_all(txt, r'({RUN})', 1)",
     "pan_count(txt STRING) RETURNS BIGINT": f"regexp_count(txt, r'{RUN}')",
     "pan_first_digits(txt STRING) RETURNS STRING": f"substring(regexp_replace(if(regexp_extract(txt, r'{RUN}', 0) != '', regexp_extract(txt, r'{RUN}', 0), txt), r'{OTHER}', ''), 1, {MAX_TYPED})",
-    "pan_luhn(pan STRING) RETURNS BOOLEAN": f"length({_D}) >= 12 AND luhn_check({_D})",
+    "pan_luhn(pan STRING) RETURNS BOOLEAN": (
+        f"length({_D}) >= 12 AND CASE WHEN {_D} RLIKE '^[0-9]*$' THEN luhn_check({_D}) ELSE aggregate(transform(split(reverse({_D}), ''), "
+        "(ch, i) -> CASE WHEN i % 2 = 0 THEN ascii(ch) - 48 WHEN ascii(ch) > 52 THEN 2 * ascii(ch) - 105 ELSE 2 * ascii(ch) - 96 END), 0, (a, x) -> a + x) % 10 = 0 END"
+    ),
     "pan_brand(pan STRING) RETURNS STRING": (
         f"CASE WHEN pan IS NULL THEN NULL WHEN startswith({_D}, '4') THEN 'VISA' "
         f"WHEN try_cast(substring({_D}, 1, 2) AS INT) BETWEEN 51 AND 55 THEN 'MASTERCARD' "
