@@ -284,7 +284,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold
     known = named.join(classes, "label").select("set", (F.col("linked") + F.col("copies") - 1).alias("n_links"), F.col("one.doc_id").alias("copy_id"), "best", "class_size")
     firsts = rows.groupBy("set", "row_key").agg(F.min("row").alias("first"))
     chosen = known.join(firsts, (firsts["set"] == known["set"]) & (F.col("row_key") == F.col("best.row_key"))).select(known["set"], "first")
-    marked = known.join(chosen, "set", "left")
+    marked = cut(known.join(chosen, "set", "left"))
     return rows.select("set", "doc_id", "row_key", "row").join(marked, "set").select(
         "doc_id", F.col("best.doc_id").alias("class_id"), "copy_id", "n_links", "class_size", F.coalesce(F.col("row") == F.col("first"), F.lit(False)).alias("kept"), "row_key"
     )

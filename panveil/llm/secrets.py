@@ -73,6 +73,7 @@ def ownership(df: DataFrame, id_col: str, text_col: str, repo_cols: list[str], o
     each = found.select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
     held = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
     owners = held.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    owners = cut(owners)  # so that the join shuffles for itself and a common value's rows can be split over tasks
     own = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     judged = each.join(owners, "hash").select("row", "base", "live", own.alias("own"), F.struct("start", "number", "end").alias("span"))
     per_row = judged.groupBy("row").agg(

@@ -67,7 +67,7 @@ def write_archives(
     payload = whole(payload_col)
     rows = df.select(col(id_col).cast("string").alias("id"), col(id_col).alias("rank"), whole(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
     narrow = cut(rows.select("id", "rank", "url", "key", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("row")))
-    best = narrow.groupBy("key").agg(F.max(F.struct("rank", "row", "id")).alias("best"))
+    best = cut(narrow.groupBy("key").agg(F.max(F.struct("rank", "row", "id")).alias("best")))
     typed = narrow.join(best, "key").withColumn("kind", F.when((F.col("size") >= min_revisit_bytes) & (F.col("row") != F.col("best.row")), "revisit").otherwise("response"))
     name = lambda n, row: F.concat(F.coalesce(n, F.lit("~")), F.lit(" "), row.cast("string"))
     typed = cut(typed.select("key", "kind", "id", "url", "size", "sha1", name(F.col("id"), F.col("row")).alias("name"), name(F.col("best.id"), F.col("best.row")).alias("refers_to")))
