@@ -54,12 +54,13 @@ def exact_dedup(
 
 def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     best = F.max(F.struct("rank", "key", "row", "id"))
-    groups = rows.groupBy(*by).agg(best.alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, by).select(
+    # A cut, so that the join shuffles for itself and a large group's rows can be split over tasks.
+    groups = cut(rows.groupBy(*by).agg(best.alias("best"), F.count("*").alias("n")).where("n > 1"))
+    return rows.join(groups, by, "left").select(
         F.col("id").alias("doc_id"),
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"),
+        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
         F.col("key").alias("row_key"),
     )
