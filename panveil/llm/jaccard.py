@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from panveil.llm.common import col, cut, row_key, whole
 
 SIGNATURE = 64  # sampled tokens of a set, 32 bits each
-BUCKET = 256  # sets that are compared with one another at most
+BUCKET = 1024  # sets that are compared with one another at most
 CHILDREN = 2  # sampled tokens that a set follows out of a bucket that is too large
 DEPTH = 5  # splits of a bucket, after which its blocks are compared in pairs
 _BATCH_BYTES = 8 << 20
@@ -107,30 +107,40 @@ def _token(sketch: Column, place: Column) -> Column:
 
 
 def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """bucket, set, block, other: a bucket holds the sets that met; of a large one only those of blocks block and other."""
+    """bucket, set, size: where sets meet, and how many do. A bucket that splitting hardly makes smaller stays whole."""
     first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, _token(F.col("sketch"), r)))
-    keys = sets.where("n > 0").select("set", F.explode(first).alias("bucket"))
-    done = []
+    keys = sets.where("n > 0").select("set", F.explode(first).alias("bucket"), F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("of"))
+    done, large = [], None
     for level in range(DEPTH + 1):
-        sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = cut(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
         met = cut(keys.join(sizes, "bucket"))
-        done.append(met.where(F.col("size") <= BUCKET).select("bucket", "set", F.lit(0).alias("block"), F.lit(0).alias("other")))
-        large = met.where(F.col("size") > BUCKET)
+        if large is not None:  # most of a parent's sets in one child: they are alike, and more tokens would not part them
+            dense = cut(met.groupBy("parent").agg(F.max("size").alias("most"), F.max("of").alias("of")).where("most * 2 > of").select("parent"))
+            done.append(large.join(dense, large["bucket"] == dense["parent"], "left_semi").select("bucket", "set", "size"))
+            met = cut(met.join(dense, "parent", "left_anti"))
+        done.append(met.where(F.col("size") <= BUCKET).select("bucket", "set", "size"))
+        large = met.where(F.col("size") > BUCKET).select("bucket", "set", "size")
         if large.isEmpty():
-            return _union(done)
-        if level == DEPTH:
-            break
+            return cut(_union(done))
         # The bucket picks the tokens, so that all its sets follow the same ones; two that share a token stay together.
-        spots = F.transform(F.sequence(F.lit(0), F.lit(CHILDREN - 1)), lambda j: F.pmod(F.xxhash64(F.col("bucket"), F.lit(level)) + j * 29, F.lit(SIGNATURE)))
-        children = F.transform(spots, lambda p: F.xxhash64(F.col("bucket"), p, _token(F.col("sketch"), p)))
-        keys = large.join(sets.select("set", "sketch"), "set").select("set", F.explode(F.array_distinct(children)).alias("bucket"))
-        keys = keys.distinct()
-    # What no token splits is compared in full: its sets lie in blocks, and each two blocks meet in a bucket.
-    blocks = F.ceil(F.col("size") / (BUCKET // 2)).cast("int")
-    own = large.withColumn("blocks", blocks).withColumn("mine", F.expr("cast(pmod(xxhash64(set), blocks) as int)"))
-    paired = own.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"block": F.col("mine"), "low": F.least("mine", "with"), "other": F.greatest("mine", "with")})
-    done.append(paired.select(F.xxhash64("bucket", "low", "other").alias("bucket"), "set", "block", F.when(F.col("low") == F.col("other"), 0).otherwise(1).alias("other")))
-    return _union(done)
+        spots = F.transform(F.sequence(F.lit(0), F.lit(CHILDREN - 1)), lambda j: F.pmod(F.xxhash64(F.col("parent"), F.lit(level)) + j * 29, F.lit(SIGNATURE)))
+        children = F.transform(spots, lambda p: F.xxhash64(F.col("parent"), p, _token(F.col("sketch"), p)))
+        up = large.select("set", F.col("bucket").alias("parent"), F.col("size").alias("of")).join(sets.select("set", "sketch"), "set")
+        keys = up.select("set", F.explode(F.array_distinct(children)).alias("bucket"), "parent", "of")
+    return cut(_union([*done, large]))
+
+
+def _meetings(buckets: DataFrame) -> DataFrame:
+    """group, bucket, set, block, across: sets to compare, BUCKET or so at most in a group.
+
+    The sets of a larger bucket lie in blocks. Each two blocks meet in a group, and there only sets of different
+    blocks are compared.
+    """
+    half = BUCKET // 2
+    few = buckets.where(F.col("size") <= BUCKET).select(F.col("bucket").alias("group"), "bucket", "set", F.lit(0).alias("block"), F.lit(False).alias("across"))
+    own = buckets.where(F.col("size") > BUCKET).withColumn("blocks", F.ceil(F.col("size") / half).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(set), blocks) as int)"))
+    both = own.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    return few.unionByName(both.select(F.xxhash64("bucket", "low", "high").alias("group"), "bucket", "set", "block", (F.col("low") != F.col("high")).alias("across")))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -140,12 +150,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows with the same first column, of batches sorted by it."""
-    held: list[tuple] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows with the same group, of batches sorted by it."""
+    held: list[dict] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[0] != held[0][0]:
+        for row in batch.to_pylist():
+            if held and row["group"] != held[0]["group"]:
                 yield held
                 held = []
             held.append(row)
@@ -158,45 +168,60 @@ def _agreement(threshold: float) -> int:
     return math.floor(SIGNATURE * threshold - 4 * math.sqrt(SIGNATURE * threshold * (1 - threshold)))
 
 
-def _candidates(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, bucket: pairs of sets that are likely to be similar, each in one bucket."""
+def _likely(rows: list[dict], threshold: float, least: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a group that are likely to be similar and that no other bucket is to report.
+
+    Of the buckets in which two sets meet, the one with the least number reports them.
+    """
+    tokens = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype="<u4").reshape(len(rows), SIGNATURE)
+    sizes, blocks = np.array([r["n"] for r in rows], dtype=np.float64), np.array([r["block"] for r in rows])
+    homes, bucket, across = [frozenset(r["buckets"]) for r in rows], rows[0]["bucket"], rows[0]["across"]
+    for i in range(len(rows) - 1):
+        fits = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least
+        fits &= np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9
+        if across:
+            fits &= blocks[i + 1 :] != blocks[i]
+        for j in (np.flatnonzero(fits) + i + 1).tolist():
+            if min(homes[i] & homes[j]) == bucket:
+                yield i, j
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= threshold * (len(both) - common) - 1e-9
+
+
+def _links(df: DataFrame, text_col: str, sets: DataFrame, buckets: DataFrame, width: int, threshold: float) -> DataFrame:
+    """set, linked, root: for each group with links of a set, the rows it is linked to and one set it is connected to.
+
+    Sketches first tell which sets have likely partners in a group. Only their texts are read again and go to that
+    group, where the pairs are verified by the whole sets. Pairs are counted where they are found and never written:
+    a group gives a row for each of its sets.
+    """
     least = _agreement(threshold)
+    homes = buckets.groupBy("set").agg(F.collect_set("bucket").alias("buckets"))
+    known = cut(sets.join(homes, "set").select("set", "n", "sketch", "copies", "row_key", "buckets"))
+    meetings = _meetings(buckets)
+    columns = ["group", "bucket", "set", "block", "across", "n", "sketch", "buckets"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, ids = [], []
         for rows in _groups(batches):
             if len(rows) > 1:
-                rows.sort(key=lambda r: r[1])
-                tokens = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u4").reshape(len(rows), SIGNATURE)
-                sizes = np.array([r[4] for r in rows], dtype=np.float64)
-                blocks, across = np.array([r[2] for r in rows]), rows[0][3] == 1
-                for i in range(len(rows) - 1):
-                    fits = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least
-                    fits &= np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9
-                    if across:
-                        fits &= blocks[i + 1 :] != blocks[i]
-                    for j in np.flatnonzero(fits).tolist():
-                        out[0].append(rows[i][1])
-                        out[1].append(rows[i + 1 + j][1])
-                        out[2].append(rows[i][0])
-            if len(out[0]) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["a", "b", "bucket"])
-                out = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["a", "b", "bucket"])
-
-    rows = buckets.join(sets.select("set", "n", "sketch"), "set").select("bucket", "set", "block", "other", "n", "sketch")
-    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a binary, b binary, bucket long")
-    return cut(found.groupBy("a", "b").agg(F.min("bucket").alias("bucket")))
-
-
-def _links(df: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """a, b: the pairs whose Jaccard similarity, of the whole sets, is the threshold or more.
-
-    A text goes once to each bucket that has a pair of it, not once to each pair.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set"), "bucket").distinct()
-    wanted = needed.select("set").distinct().join(sets.select("set", "row_key"), "set")
-    texts = df.select(row_key(df).alias("row_key"), whole(text_col).alias("text")).join(wanted, "row_key").select("set", "text")
+                found = {k for pair in _likely(rows, threshold, least) for k in pair}
+                groups += [rows[0]["group"]] * len(found)
+                ids += [rows[k]["set"] for k in found]
+            if len(ids) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(ids, pa.binary())], names=["group", "set"])
+                groups, ids = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(ids, pa.binary())], names=["group", "set"])
+
+    sketched = meetings.join(known.select("set", "n", "sketch", "buckets"), "set").select(*columns)
+    needed = cut(sketched.repartition("group").sortWithinPartitions("group").mapInArrow(find, "group long, set binary"))
+    wanted = needed.select("set").distinct().join(known.select("set", "row_key"), "set")
+    texts = df.select(row_key(df).alias("row_key"), whole(text_col).alias("text")).join(wanted, "row_key").groupBy("set").agg(F.first("text").alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,27 +230,25 @@ def _links(df: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame, widt
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["set", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_here: dict[bytes, np.ndarray] = {}
-        bucket = None
-        for batch in batches:
-            left, right = [], []
-            for key, a, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != bucket:
-                    bucket, sets_here = key, {}
-                if data is not None:
-                    sets_here[a] = np.frombuffer(data, dtype=np.uint64)
-                    continue
-                x, y = sets_here[a], sets_here[b]
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                if common >= threshold * (len(x) + len(y) - common) - 1e-9:
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    whole_sets = texts.mapInArrow(tokens, "set binary, tokens binary").join(needed, "set").select("bucket", F.col("set").alias("a"), F.lit(None).cast("binary").alias("b"), "tokens")
-    rows = whole_sets.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("tokens")))
-    return cut(rows.repartition("bucket").sortWithinPartitions("bucket", F.col("b").asc_nulls_first()).mapInArrow(verify, "a binary, b binary"))
+        for rows in _groups(batches):
+            full = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows]
+            linked, root = [0] * len(rows), list(range(len(rows)))
+            for i, j in _likely(rows, threshold, least):
+                if _similar(full[i], full[j], threshold):
+                    linked[i] += rows[j]["copies"]
+                    linked[j] += rows[i]["copies"]
+                    while root[i] != root[root[i]]:
+                        root[i] = root[root[i]]
+                    while root[j] != root[root[j]]:
+                        root[j] = root[root[j]]
+                    low, high = sorted((root[i], root[j]))
+                    root[high] = low
+            some = [k for k, n in enumerate(linked) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k]["set"] for k in some], pa.binary()), pa.array([linked[k] for k in some], pa.int64()), pa.array([rows[root[k]]["set"] for k in some], pa.binary())], names=["set", "linked", "root"])
+
+    asked = meetings.join(needed, ["group", "set"]).join(known.select("set", "n", "sketch", "buckets", "copies"), "set")
+    rows = asked.join(texts.mapInArrow(tokens, "set binary, tokens binary"), "set").select(*columns, "copies", "tokens")
+    return cut(rows.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "set binary, linked long, root binary"))
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -263,9 +286,9 @@ def similar(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold
     with the least id.
 
     A set's sketch samples its tokens by 64 random orders. In each run every set goes to the bucket of one sampled
-    token; buckets of more than 256 sets split by further ones, each set along two of them, until they are small or,
-    after five splits, their blocks are compared in pairs. So no bucket is left out or cut short. Pairs whose
-    sketches agree, within four standard deviations, are verified. runs_for(recall, threshold) gives the runs: a pair
+    token; buckets of more than 1024 sets split by further ones, each set along two of them, until they are small or
+    splitting hardly parts them, or five times; what is still large is compared block by block. So no bucket is left
+    out or cut short. Pairs whose sketches agree, within four standard deviations, are verified. runs_for(recall, threshold) gives the runs: a pair
     at the threshold is found with that probability, a more similar one with a greater one.
 
     Texts of fewer words than width have one shingle, all of their words. Texts without words, nulls too, are copies
@@ -273,11 +296,9 @@ def similar(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold
     """
     rows = _sketches(df, id_col, text_col, width)
     sets = cut(rows.groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("set", "copies", "n", "sketch", "one", F.col("one.row_key").alias("row_key")))
-    pairs = _candidates(_buckets(sets, runs_for(recall, threshold)), sets, threshold)
-    links = _links(df, text_col, sets, pairs, width, threshold)
-    labels = components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sets.select(F.col("set").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("copies").alias("linked"))
+    links = _links(df, text_col, sets, _buckets(sets, runs_for(recall, threshold)), width, threshold)
+    labels = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    linked = links.groupBy("set").agg(F.sum("linked").alias("linked"))
     named = sets.select("set", "copies", "one").join(labels.withColumnRenamed("node", "set"), "set", "left").join(linked, "set", "left")
     named = cut(named.select("set", "copies", "one", F.coalesce("label", "set").alias("label"), F.coalesce("linked", F.lit(0)).alias("linked")))
     classes = named.groupBy("label").agg(F.min("one").alias("best"), F.sum("copies").alias("class_size"))
