@@ -56,7 +56,8 @@ def ownership(df: DataFrame, id_col: str, text_col: str, repo_cols: list[str], o
     Each candidate's SHA-256 is counted over the whole corpus by distinct owners and distinct repositories. A value is
     owner-specific if max_owners at most hold it in max_repos repositories at most. Spans by pattern all stay; n_live
     of them are owner-specific and do not look like examples, n_copied are in more hands. Long opaque runs that no
-    pattern names are added as spans where they are owner-specific and look live: what many share is no secret.
+    pattern names are added as spans where they are owner-specific and look live: what many share is no secret. They may overlap
+    spans by pattern.
 
     Texts are read once. Only spans and hashes move after that, and counts are combined before each shuffle, so that a
     value in a third of all rows costs a row for each task. Null text is empty; null owners are one owner, as are null
