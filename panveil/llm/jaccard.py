@@ -260,7 +260,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     edges, before = links.where("a != b"), None
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # a cut, so that a hub's links split over tasks
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
@@ -301,7 +301,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold
     linked = links.groupBy("set").agg(F.sum("linked").alias("linked"))
     named = sets.select("set", "copies", "one").join(labels.withColumnRenamed("node", "set"), "set", "left").join(linked, "set", "left")
     named = cut(named.select("set", "copies", "one", F.coalesce("label", "set").alias("label"), F.coalesce("linked", F.lit(0)).alias("linked")))
-    classes = named.groupBy("label").agg(F.min("one").alias("best"), F.sum("copies").alias("class_size"))
+    classes = cut(named.groupBy("label").agg(F.min("one").alias("best"), F.sum("copies").alias("class_size")))  # as in components, for a large class
     known = named.join(classes, "label").select("set", (F.col("linked") + F.col("copies") - 1).alias("n_links"), F.col("one.doc_id").alias("copy_id"), "best", "class_size")
     firsts = rows.groupBy("set", "row_key").agg(F.min("row").alias("first"))
     chosen = known.join(firsts, (firsts["set"] == known["set"]) & (F.col("row_key") == F.col("best.row_key"))).select(known["set"], "first")
