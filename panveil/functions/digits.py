@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ GLYPHS = ("*", "•", "#", "x", "$", "!", "@", "%", "^", "&")
 DIGIT = r"[\p{Nd}&&[\x{0}-\x{FFFF}]]"
 OTHER = r"[\P{Nd}\x{10000}-\x{10FFFF}]"
 
+# Digits of the basic plane beyond ASCII, and what each is worth.
+WIDE = "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd")
+WORTH = "".join(str(unicodedata.decimal(c)) for c in WIDE)
+
 ColumnLike = Column | str
 
 

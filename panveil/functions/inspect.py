@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panveil.functions.digits import MAX_TYPED, OTHER, RUN, ColumnLike, as_col
+from panveil.functions.digits import MAX_TYPED, OTHER, RUN, WIDE, WORTH, ColumnLike, as_col
 
 
 def _digits(c: Column) -> Column:
@@ -25,14 +25,19 @@ def first_digits(text: ColumnLike) -> Column:
 
 
 def brand(number: ColumnLike) -> Column:
-    """Issuer label by leading digits; CARD if none fits, NULL for NULL. Neither length nor check digit matters."""
+    """Issuer label by leading digits; CARD if none fits, NULL for NULL. Neither length nor check digit matters.
+
+    Prefixes that are ranges are numbers, for which a digit of any script counts; the others are ASCII text.
+    """
     c = as_col(number)
     d = _digits(c)
     two, four = F.substring(d, 1, 2), F.substring(d, 1, 4)
+    value = F.translate(four, WIDE, WORTH)
+    head = F.substring(value, 1, 2)
     label = (
         F.when(d.startswith("4"), "VISA")
-        .when(two.between("51", "55") & (F.length(two) == 2), "MASTERCARD")
-        .when((F.length(four) == 4) & four.between("2221", "2720"), "MASTERCARD")
+        .when(head.between("51", "55") & (F.length(head) == 2), "MASTERCARD")
+        .when((F.length(value) == 4) & value.between("2221", "2720"), "MASTERCARD")
         .when(two.isin("34", "37"), "AMEX")
         .when((four == "6011") | (two == "65"), "DISCOVER")
         .otherwise("CARD")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from panveil.functions.digits import DIGIT, MAX_SHOWN, MAX_TYPED, OTHER, RUN
+from panveil.functions.digits import DIGIT, MAX_SHOWN, MAX_TYPED, OTHER, RUN, WIDE, WORTH
 
 _QUOTED = r"regexp_replace(glyph, r'([\\$])', r'\\$1')"
 _TRAIL = f"greatest(least(trail, {MAX_SHOWN}), 0)"
@@ -15,6 +15,7 @@ _L = f"greatest(least(lead, {_MOST} - {_T}), 0)"
 _HEAD = f"regexp_extract(pan, concat(r'^(?:{OTHER}*{DIGIT}){{', {_L}, '}}'), 0)"
 _PARTS = f"concat('^((?:[^0-9]*[0-9]){{', {_LEAD}, '}})(.*?)((?:[^0-9]*[0-9]){{', {_TRAIL}, '}})$')"
 _D = f"regexp_replace(pan, r'{OTHER}', '')"
+_FOUR = f"translate(substring({_D}, 1, 4), '{WIDE}', '{WORTH}')"
 
 FUNCTIONS = {
     "pan_runs(txt STRING) RETURNS ARRAY<STRING>": f"regexp_extract_all(txt, r'({RUN})', 1)",
@@ -26,8 +27,8 @@ FUNCTIONS = {
     ),
     "pan_brand(pan STRING) RETURNS STRING": (
         f"CASE WHEN pan IS NULL THEN NULL WHEN startswith({_D}, '4') THEN 'VISA' "
-        f"WHEN try_cast(substring({_D}, 1, 2) AS INT) BETWEEN 51 AND 55 THEN 'MASTERCARD' "
-        f"WHEN length({_D}) >= 4 AND try_cast(substring({_D}, 1, 4) AS INT) BETWEEN 2221 AND 2720 THEN 'MASTERCARD' "
+        f"WHEN try_cast(substring({_FOUR}, 1, 2) AS INT) BETWEEN 51 AND 55 THEN 'MASTERCARD' "
+        f"WHEN length({_D}) >= 4 AND try_cast({_FOUR} AS INT) BETWEEN 2221 AND 2720 THEN 'MASTERCARD' "
         f"WHEN substring({_D}, 1, 2) IN ('34', '37') THEN 'AMEX' "
         f"WHEN startswith({_D}, '6011') OR startswith({_D}, '65') THEN 'DISCOVER' ELSE 'CARD' END"
     ),

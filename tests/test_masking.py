@@ -85,7 +85,7 @@ def test_grids(spark):
 def test_inspection(spark):
     assert [one(spark, x, count_runs) for x in ("1234", "4111 1111 1111 1111", "4111111111111111 and 378282246310005", None)] == [0, 1, 2, None]
     assert [one(spark, x, first_digits) for x in ("card: 4111-1111-1111-1111!", "1234567890123456789012", "ref 42", None)] == ["4111111111111111", "1234567890123456789", "42", None]
-    brands = {"": "CARD", "4": "VISA", "5": "CARD", "55": "MASTERCARD", "56": "CARD", "34": "AMEX", "37x": "AMEX", "65": "DISCOVER", "6011": "DISCOVER", "2220": "CARD", "27209": "MASTERCARD", "2721": "CARD", "222": "CARD", None: None}
+    brands = {"": "CARD", "4": "VISA", "5": "CARD", "55": "MASTERCARD", "56": "CARD", "34": "AMEX", "37x": "AMEX", "65": "DISCOVER", "6011": "DISCOVER", "2220": "CARD", "27209": "MASTERCARD", "2721": "CARD", "222": "CARD", "٥١": "MASTERCARD", "5٥": "MASTERCARD", "٢٢٢١": "MASTERCARD", "٤": "CARD", "٣٤": "CARD", "٦٥": "CARD", None: None}
     assert {x: one(spark, x, brand) for x in brands} == brands
     luhn = {"000000000000": True, "00000000000": False, "4111-1111-1111-1111": True, "4111-1111-1111-1112": False, "": False, "٤١١١١١١١١١١١١١١١": False, None: None}
     assert {x: one(spark, x, luhn_ok) for x in luhn} == luhn

@@ -16,7 +16,7 @@ from panveil.sources import read_shares, read_texts, write_masked
 from panveil.streaming import mask_stream, text_stream
 
 ROOT = Path(__file__).resolve().parent.parent
-TEXTS = ["4111111111111111 and 378282246310005", "x 4111-1111-1111-1111", "55", "12 34", "", None, "$ 6011000990139424 \\", "٤٢ 2221000000000009"]
+TEXTS = ["4111111111111111 and 378282246310005", "x 4111-1111-1111-1111", "55", "12 34", "", None, "$ 6011000990139424 \\", "٤٢ 2221000000000009", "٥١ 11", "٢٢٢١", "٣٤"]
 
 
 def test_sql_functions_equal_the_columns(spark):
