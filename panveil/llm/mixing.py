@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panveil.llm.common import col, cut, row_key, whole
+from panveil.llm.common import col, cut, row_key, running, whole
 
 #: Sources are settings, not data: their totals, a row each, come to the driver. More than this is an error.
 MAX_SOURCES = 100_000
@@ -70,8 +70,8 @@ def mix(
     the order of a hash as long as they begin below it, so a source gets its quota to within one row. position is
     the share of the source's quota that came before the block: sorted by it, sources interleave by weight.
 
-    Only blocks, a row each, are put in order, and rows of blocks that are cut; no source meets in one task. Null
-    text has the token for its end. Null sources are a source. Rows that are equal are drawn one by one, ties among
+    Only blocks, a row each, are put in order, by ranges, and rows of blocks that are cut; no source meets in one
+    task. Null text has the token for its end. Null sources are a source. Rows that are equal are drawn one by one, ties among
     them broken freely. No rows, no result.
     """
     n_tokens = (F.regexp_count(whole(text_col), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
@@ -90,8 +90,8 @@ def mix(
     sizes = placed.groupBy("source", "block", "total", "quota", "epochs").agg(F.sum("n_tokens").alias("size"))
     # Whole epochs take every block; only the last one, if it is not whole, has to be put in order up to its quota.
     epochs = sizes.withColumn("epoch", F.explode(F.expr("filter(sequence(0L, epochs), e -> e < epochs)")))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = epochs.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("epoch") * F.col("total"))
+    epochs = epochs.withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "block"))
+    blocks = running(epochs, ["source", "epoch"], ["turn", "block"], "size", "before").withColumn("before", F.col("before") + F.col("epoch") * F.col("total"))
     blocks = blocks.where("before < quota").withColumn("room", F.col("quota") - F.col("before"))
     taken = blocks.select("source", "block", "epoch", "size", "room", (F.col("before") / F.col("quota")).alias("position"), (F.col("quota") / F.lit(max(whole_budget, 1))).alias("weight"))
     drawn = placed.select("doc_id", "source", "n_tokens", "row_key", "row", "block").join(taken, ["source", "block"])
