@@ -18,6 +18,7 @@ SIGNATURE = 64  # sampled tokens of a set, 32 bits each
 BUCKET = 1024  # sets that are compared with one another at most
 CHILDREN = 2  # sampled tokens that a set follows out of a bucket that is too large
 DEPTH = 5  # splits of a bucket, after which its blocks are compared in pairs
+HEAVY = 16 << 20  # tokens of the whole sets that a task holds for a group at most, but for a single pair
 _BATCH_BYTES = 8 << 20
 
 
@@ -150,12 +151,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows with the same group, of batches sorted by it."""
+def _halls(needed: DataFrame) -> DataFrame:
+    """group, set, hall, part, cross: where the whole sets of a group are compared.
+
+    A group of more than HEAVY tokens is dealt to parts of half of that, and each two parts meet in a hall, where only
+    sets of different parts are compared; any other group is a hall.
+    """
+    heavy = cut(needed.groupBy("group").agg(F.sum("n").alias("load")).where(F.col("load") > HEAVY))
+    own = needed.join(heavy, "group", "left").withColumn("parts", F.coalesce(F.ceil(F.col("load") * 2 / HEAVY), F.lit(1)).cast("int"))
+    own = own.withColumn("part", F.expr("cast(pmod(xxhash64(group, set), parts) as int)")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    low, high = F.least("part", "with"), F.greatest("part", "with")
+    return own.select("group", "set", F.when(F.col("parts") == 1, F.col("group")).otherwise(F.xxhash64("group", low, high)).alias("hall"), "part", (low != high).alias("cross"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
+    """Rows that meet, of batches sorted by where they do."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and row["group"] != held[0]["group"]:
+            if held and row[by] != held[0][by]:
                 yield held
                 held = []
             held.append(row)
@@ -174,13 +188,14 @@ def _likely(rows: list[dict], threshold: float, least: int) -> Iterator[tuple[in
     Of the buckets in which two sets meet, the one with the least number reports them.
     """
     tokens = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype="<u4").reshape(len(rows), SIGNATURE)
-    sizes, blocks = np.array([r["n"] for r in rows], dtype=np.float64), np.array([r["block"] for r in rows])
-    homes, bucket, across = [frozenset(r["buckets"]) for r in rows], rows[0]["bucket"], rows[0]["across"]
+    sizes = np.array([r["n"] for r in rows], dtype=np.float64)
+    homes, bucket = [frozenset(r["buckets"]) for r in rows], rows[0]["bucket"]
+    apart = [np.array([r[side] for r in rows]) for side, parted in (("block", "across"), ("part", "cross")) if rows[0].get(parted)]
     for i in range(len(rows) - 1):
         fits = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least
         fits &= np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9
-        if across:
-            fits &= blocks[i + 1 :] != blocks[i]
+        for sides in apart:
+            fits &= sides[i + 1 :] != sides[i]
         for j in (np.flatnonzero(fits) + i + 1).tolist():
             if min(homes[i] & homes[j]) == bucket:
                 yield i, j
@@ -197,7 +212,7 @@ def _links(df: DataFrame, text_col: str, sets: DataFrame, buckets: DataFrame, wi
     """set, linked, root: for each group with links of a set, the rows it is linked to and one set it is connected to.
 
     Sketches first tell which sets have likely partners in a group. Only their texts are read again and go to that
-    group, where the pairs are verified by the whole sets. Pairs are counted where they are found and never written:
+    group's halls, where the pairs are verified by the whole sets. Pairs are counted where they are found and never written:
     a group gives a row for each of its sets.
     """
     least = _agreement(threshold)
@@ -207,19 +222,21 @@ def _links(df: DataFrame, text_col: str, sets: DataFrame, buckets: DataFrame, wi
     columns = ["group", "bucket", "set", "block", "across", "n", "sketch", "buckets"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, ids = [], []
-        for rows in _groups(batches):
+        out = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in (("group", pa.int64()), ("set", pa.binary()), ("n", pa.int64()))], names=["group", "set", "n"])
+
+        for rows in _groups(batches, "group"):
             if len(rows) > 1:
-                found = {k for pair in _likely(rows, threshold, least) for k in pair}
-                groups += [rows[0]["group"]] * len(found)
-                ids += [rows[k]["set"] for k in found]
-            if len(ids) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(ids, pa.binary())], names=["group", "set"])
-                groups, ids = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(ids, pa.binary())], names=["group", "set"])
+                out += [rows[k] for k in {k for pair in _likely(rows, threshold, least) for k in pair}]
+            if len(out) >= 10_000:
+                yield batch()
+                out = []
+        yield batch()
 
     sketched = meetings.join(known.select("set", "n", "sketch", "buckets"), "set").select(*columns)
-    needed = cut(sketched.repartition("group").sortWithinPartitions("group").mapInArrow(find, "group long, set binary"))
+    needed = cut(sketched.repartition("group").sortWithinPartitions("group").mapInArrow(find, "group long, set binary, n long"))
     wanted = needed.select("set").distinct().join(known.select("set", "row_key"), "set")
     texts = df.select(row_key(df).alias("row_key"), whole(text_col).alias("text")).join(wanted, "row_key").groupBy("set").agg(F.first("text").alias("text"))
 
@@ -230,7 +247,7 @@ def _links(df: DataFrame, text_col: str, sets: DataFrame, buckets: DataFrame, wi
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["set", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
+        for rows in _groups(batches, "hall"):
             full = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows]
             linked, root = [0] * len(rows), list(range(len(rows)))
             for i, j in _likely(rows, threshold, least):
@@ -246,9 +263,9 @@ def _links(df: DataFrame, text_col: str, sets: DataFrame, buckets: DataFrame, wi
             some = [k for k, n in enumerate(linked) if n]
             yield pa.RecordBatch.from_arrays([pa.array([rows[k]["set"] for k in some], pa.binary()), pa.array([linked[k] for k in some], pa.int64()), pa.array([rows[root[k]]["set"] for k in some], pa.binary())], names=["set", "linked", "root"])
 
-    asked = meetings.join(needed, ["group", "set"]).join(known.select("set", "n", "sketch", "buckets", "copies"), "set")
-    rows = asked.join(texts.mapInArrow(tokens, "set binary, tokens binary"), "set").select(*columns, "copies", "tokens")
-    return cut(rows.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "set binary, linked long, root binary"))
+    asked = meetings.join(_halls(needed), ["group", "set"]).join(known.select("set", "n", "sketch", "buckets", "copies"), "set")
+    rows = asked.join(texts.mapInArrow(tokens, "set binary, tokens binary"), "set").select(*columns, "hall", "part", "cross", "copies", "tokens")
+    return cut(rows.repartition("hall").sortWithinPartitions("hall").mapInArrow(verify, "set binary, linked long, root binary"))
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:

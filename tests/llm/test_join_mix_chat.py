@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import SCHEMA, awkward, empty, prose, shingles, words
 
 from panveil.llm import chat, jaccard, mixing
+from panveil.llm.common import running
 
 # --- the join ---
 
@@ -66,15 +67,27 @@ def test_join_equals_brute_force(spark):
     assert jaccard.similar(empty(spark), "doc_id", "text").count() == 0
 
 
+def crowded():
+    rng = random.Random(9)
+    passage, base = words(rng, 40), words(rng, 120)
+    rows = [(i, " ".join(words(rng, 20) + passage + words(rng, 20)), "en", "s") for i in range(40)]
+    return rows + [(100 + i, " ".join([*base[: i % 100], f"own{i}", *base[i % 100 :]]), "en", "s") for i in range(40)]
+
+
 def test_large_buckets_split_and_lose_nothing(spark, monkeypatch):
     """Many texts share a long passage, and one large group is similar throughout; buckets hold 4 sets only."""
     monkeypatch.setattr(jaccard, "BUCKET", 4)
     monkeypatch.setattr(jaccard, "DEPTH", 2)
-    rng = random.Random(9)
-    passage, base = words(rng, 40), words(rng, 120)
-    rows = [(i, " ".join(words(rng, 20) + passage + words(rng, 20)), "en", "s") for i in range(40)]
-    rows += [(100 + i, " ".join([*base[: i % 100], f"own{i}", *base[i % 100 :]]), "en", "s") for i in range(40)]
-    check_join(spark.createDataFrame(rows, SCHEMA))
+    check_join(spark.createDataFrame(crowded(), SCHEMA))
+
+
+def test_heavy_groups_are_compared_in_parts(spark, monkeypatch):
+    """A hall holds some five sets, in large groups and, with small buckets, across blocks too."""
+    monkeypatch.setattr(jaccard, "HEAVY", 600)
+    check_join(spark.createDataFrame(crowded(), SCHEMA))
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "DEPTH", 1)
+    check_join(spark.createDataFrame(crowded(), SCHEMA))
 
 
 def test_recall_near_the_threshold(spark):
@@ -162,6 +175,17 @@ def check_mix(df, **options):
     assert Counter((r.doc_id, r.epoch, r.block) for r in again) == Counter((r.doc_id, r.epoch, r.block) for r in out)
 
 
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("aaab"), i, rng.randrange(100)) for i in range(3000)]
+    got = {(r.g, r.k): r.before for r in running(spark.createDataFrame(rows, "g string, k long, v long"), ["g"], ["k"], "v", "before").collect()}
+    sums, want = Counter(), {}
+    for g, k, v in sorted(rows):
+        want[g, k] = sums[g]
+        sums[g] += v
+    assert got == want
+
+
 def test_mix_meets_its_quotas(spark):
     rng = random.Random(12)
     df = spark.createDataFrame([(i, prose(rng, rng.randrange(5, 120)), "en", f"s{min(i % 12, 4)}" if i % 20 else None) for i in range(400)], SCHEMA)
