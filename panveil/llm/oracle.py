@@ -1,4 +1,4 @@
-"""The queries in DuckDB SQL, where it can express them. Packing, WARC, mixing and the join are tested by brute force."""
+"""The queries in DuckDB SQL, where it can express them. Packing, mixing and the join are tested by brute force."""
 
 from __future__ import annotations
 
@@ -69,6 +69,14 @@ SELECT doc_id, (octet_length(encode(t)) + 1)::bigint AS size,
 FROM k, {_CRC_TABLE}
 """
 
+# Base32 of a SHA-1: each five hex digits are four letters.
+_BASE32 = "array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || h[1 + 5 * (k // 4):5 + 5 * (k // 4)])::bigint >> (15 - 5 * (k % 4))) & 31)]), '')"
+WARC = f"""
+SELECT page_id, octet_length(encode(t))::bigint AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last FROM (SELECT page_id, coalesce(html, '') AS t FROM pages))
+"""
+
 
 def _licenses() -> str:
     known = "MAP {" + ", ".join(f"{_quoted(s)}: {_quoted(k)}" for k, s in licenses.SENTENCES.items()) + "}"
@@ -123,6 +131,7 @@ ORACLE: dict[str, str] = {
     "op1_secrets": _secrets(),
     "op3_exact_dedup": DEDUP,
     "op4_licenses": _licenses(),
+    "op6_warc": WARC,
     "op7_quality": QUALITY,
     "op8_sharding": SHARDING,
     "op9_chat": CHAT,
