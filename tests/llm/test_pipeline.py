@@ -86,7 +86,7 @@ def test_query_equals_its_sql(spark, name):
     if not folder.exists():
         pytest.skip("no test tables here")
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     result = con.execute(LLM_ORACLE[name])
     names = [c[0] for c in result.description]
