@@ -18,7 +18,7 @@ SIGNATURE = 64  # sampled tokens of a set, 32 bits each
 BUCKET = 1024  # sets that are compared with one another at most
 CHILDREN = 2  # sampled tokens that a set follows out of a bucket that is too large
 DEPTH = 5  # splits of a bucket, after which its blocks are compared in pairs
-HEAVY = 16 << 20  # tokens of the whole sets that a task holds for a group at most, but for a single pair
+HEAVY = 16 << 20  # tokens of the whole sets that a task holds for a group, about; sets are dealt by hash and kept whole
 _BATCH_BYTES = 8 << 20
 
 
