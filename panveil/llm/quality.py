@@ -35,12 +35,13 @@ def repeated_words(words: Column) -> Column:
 
 def line_rules(
     df: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int = 50, max_repeat_percent: int = 50,
-    min_documents: int = 50, max_percent: float = 1.0, min_left_percent: int = 20,
+    min_documents: int = 50, max_percent: float | None = None, min_left_percent: int = 20,
 ) -> DataFrame:
     """One row for each input row: doc_id, the counts, base_failed, kept, n_left_chars and row_key.
 
     A line, in lower case and with white space collapsed, is above the limit of its host if more than min_documents
-    and more than max_percent of the host's documents hold it; documents with equal texts count as one. Such lines
+    of the host's documents hold it, however large the host; documents with equal texts count as one. max_percent, if
+    given, asks for more than that share of the host's documents besides, so the limit grows with the host. Such lines
     are removed from all documents of the host but the one with the smallest id. A document of whose line characters
     less than min_left_percent is left is depleted and rejected, and so is one that fails a rule of its own:
     fewer than min_words words, or more than max_repeat_percent of them in repeated 3-word windows.
@@ -69,8 +70,10 @@ def line_rules(
     lines = documents.select("row", "doc_id", "host", "content", line).select("row", "doc_id", "host", "content", "line.hash", "line.size")
     held = lines.groupBy("host", "hash", "content").agg(F.min(F.struct("doc_id", "content")).alias("first"))
     spread = held.groupBy("host", "hash").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
-    hosts = documents.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
-    frequent = spread.where(F.col("documents") > min_documents).join(hosts, "host").where(F.col("documents") * 100 > F.col("of") * max_percent)
+    frequent = spread.where(F.col("documents") > min_documents)
+    if max_percent is not None:
+        hosts = documents.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
+        frequent = frequent.join(hosts, "host").where(F.col("documents") * 100 > F.col("of") * max_percent)
     gone = lines.join(frequent.select("host", "hash", F.col("first.content").alias("stays")), ["host", "hash"]).where("content != stays")
     gone = gone.groupBy("row").agg(F.sum("size").alias("gone"))
     all_chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)

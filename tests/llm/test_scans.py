@@ -149,3 +149,13 @@ def test_awkward_quality(spark):
     assert quality.line_rules(empty(spark), "doc_id", "text", "source").count() == 0
     same = quality.line_rules(awkward(spark), "doc_id", "text", "source", min_documents=0, max_percent=0.0, min_words=0, max_repeat_percent=100)
     assert same.count() == awkward(spark).count()
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    banner = "A banner that some sixty pages show"
+    rows = [(i, "\n".join([banner] * 8) + f"\nown {i}", "en", "h") for i in range(60)]
+    alone = spark.createDataFrame(rows, SCHEMA)
+    others = spark.range(1000, 8000).select(F.col("id").alias("doc_id"), F.format_string("page %d of others", "id").alias("text"), F.lit("en").alias("lang"), F.lit("h").alias("source"))
+    for df in (alone, alone.unionByName(others)):
+        out = quality.line_rules(df, "doc_id", "text", "source", min_words=0, max_repeat_percent=100).where("doc_id < 60").collect()
+        assert {r.doc_id for r in out if r.kept} == {0}
