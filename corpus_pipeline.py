@@ -11,9 +11,8 @@ from panveil.llm.queries import END_ID, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules of their own and are not depleted of lines that others share."""
-    kept = quality.line_rules(docs, "doc_id", "text", "source").where("kept").select(F.col("row_key").alias("key"))
-    return dedup.rows_of(docs, kept, distinct=False)
+    """Documents that pass the rules of their own and are not depleted of lines that others share, without those lines."""
+    return quality.clean(docs, "doc_id", "text", "source", "n_chars")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

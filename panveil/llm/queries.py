@@ -56,7 +56,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("row_key")
+    return quality.line_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("gone_lines", "row_key")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from tests.llm.helpers import SCHEMA, awkward, empty, prose
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panveil.llm import licenses, quality, secrets
 from panveil.llm.common import prefix_sums
 
@@ -159,3 +160,21 @@ def test_the_limit_does_not_grow_with_the_host(spark):
     for df in (alone, alone.unionByName(others)):
         out = quality.line_rules(df, "doc_id", "text", "source", min_words=0, max_repeat_percent=100).where("doc_id < 60").collect()
         assert {r.doc_id for r in out if r.kept} == {0}
+
+
+def test_lines_above_the_limit_are_removed_from_the_text(spark):
+    rng = random.Random(8)
+    banner = "A banner that every page of this host shows"
+    rows = []
+    for i in range(60):
+        own = prose(rng, 80).split("\n")
+        rows.append((i, "\n".join([f"  {banner.upper()} ", own[0], " ", "", banner, *own[1:], banner]), "en", "h", 7))
+    rows += [(100, f"{banner}\n{prose(rng, 80)}", "en", "other", 8), (5, rows[5][1], "en", "h", 7), (101, None, "en", "h", 0)]
+    df = spark.createDataFrame(rows, SCHEMA + ", n_chars long")
+    stage = corpus_pipeline.quality_rules(spark, df, "")
+    assert stage.schema == df.schema
+    want = Counter()
+    for i, text, lang, host, n in rows[:-1]:
+        left = text if i in (0, 100) else "\n".join(x for x in text.split("\n") if x.strip().lower() != banner.lower())
+        want[(i, left, lang, host, n if left == text else len(left))] += 1
+    assert Counter(map(tuple, stage.collect())) == want
