@@ -55,8 +55,9 @@ def line_rules(
     A line, in lower case and with white space collapsed, is above the limit of its host if more than min_documents
     of the host's documents hold it, however large the host; documents with equal texts count as one. max_percent, if
     given, asks for more than that share of the host's documents besides, so the limit grows with the host. Such lines
-    are removed from all documents of the host but the one with the smallest id; gone_lines has their places in the
-    text, ascending from 0, and clean() writes the text without them. A document of whose line characters less than
+    are removed from all documents of the host but one: the smallest id of those that pass the rules of their own, or
+    of all if none does. gone_lines has their places in the text, ascending from 0, and clean() writes the text without
+    them. A document of whose line characters less than
     min_left_percent is left is depleted and rejected, and so is one that fails a rule of its own: fewer than min_words
     words, or more than max_repeat_percent of them in repeated 3-word windows.
 
@@ -83,8 +84,10 @@ def line_rules(
     )
     documents = cut(counted)
     line = F.posexplode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("sizes").alias("size"))).alias("place", "line")
-    lines = documents.select("row", "doc_id", "host", "content", line).where("line.hash IS NOT NULL").select("row", "doc_id", "host", "content", "place", "line.hash", "line.size")
-    held = lines.groupBy("host", "hash", "content").agg(F.min(F.struct("doc_id", "content")).alias("first"))
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
+    lines = documents.select("row", "doc_id", "host", "content", failed.alias("failed"), line).where("line.hash IS NOT NULL")
+    lines = lines.select("row", "doc_id", "host", "content", "failed", "place", "line.hash", "line.size")
+    held = lines.groupBy("host", "hash", "content").agg(F.min(F.struct("failed", "doc_id", "content")).alias("first"))
     spread = held.groupBy("host", "hash").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
     frequent = spread.where(F.col("documents") > min_documents)
     if max_percent is not None:
@@ -94,7 +97,6 @@ def line_rules(
     gone = gone.groupBy("row").agg(F.sum("size").alias("gone"), F.sort_array(F.collect_list("place")).alias("gone_lines"))
     all_chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     left = documents.join(gone, "row", "left").withColumn("n_line_chars", all_chars).withColumn("n_left_chars", F.col("n_line_chars") - F.coalesce("gone", F.lit(0)))
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     depleted = F.col("n_left_chars") * 100 < F.col("n_line_chars") * min_left_percent
     return left.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

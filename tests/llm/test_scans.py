@@ -178,3 +178,12 @@ def test_lines_above_the_limit_are_removed_from_the_text(spark):
         left = text if i in (0, 100) else "\n".join(x for x in text.split("\n") if x.strip().lower() != banner.lower())
         want[(i, left, lang, host, n if left == text else len(left))] += 1
     assert Counter(map(tuple, stage.collect())) == want
+
+
+def test_a_rejected_document_keeps_no_line_from_others(spark):
+    shared = prose(random.Random(9), 100)
+    rows = [(0, shared.split("\n")[0], "en", "h")]  # too short itself
+    rows += [(i, f"{shared}\nown {i}", "en", "h") for i in range(1, 61)]  # near copies
+    out = {r.doc_id: r for r in quality.line_rules(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").collect()}
+    assert out[0].base_failed and out[0].n_left_chars == 0
+    assert [i for i in out if out[i].kept] == [1] and not out[1].gone_lines
