@@ -78,14 +78,28 @@ BREAK = r"[.;:!?]*[\n\r]+|[.;:!?]+[\x20\t]+"
 HINT = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr]|[Cc][Oo][Pp][Yy]|[Rr][Ii][Gg][Hh][Tt][Ss]|[Ww][Aa][Rr][Rr][Aa]|[Pp][Uu][Bb][Ll][Ii][Cc]|[Pp][Rr][Oo][Gg][Rr][Aa][Mm]|[Cc][Cc]"
 
 
-def normal_sentences(text: Column) -> Column:
-    return F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+#: What a line may begin with that is not its text: comment marks, whether signs or words, and numbers of a list.
+PREFIX = r"(?m)^[^A-Za-z0-9\r\n]*(?:(?:dnl|DNL|rem|REM)\b[^A-Za-z0-9\r\n]*)?(?:\(?(?:[0-9]{1,2}|[A-Za-z])[.)][\x20\t]+)?"
+
+
+def normal_text(text: Column) -> Column:
+    """Its words as in SENTENCES, each between single spaces, with a bar where a line or a sentence ends."""
+    plain = F.regexp_replace(F.regexp_replace(text, PREFIX, ""), BREAK, "\n")
+    framed = F.concat(F.lit("\n"), F.lower(plain), F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(framed, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", " | ")
 
 
 def recognised(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order; others are left out, so rules match across them."""
+    """Identifiers of the known sentences of a text, in order; others are left out, so rules match across them.
+
+    A known sentence begins and ends where a line or sentence does. Breaks between its words do not matter, so it is found
+    however its lines are wrapped.
+    """
+    sentences = sorted(SENTENCES, key=lambda k: -len(SENTENCES[k]))
+    every = "|".join(SENTENCES[k] for k in sentences).replace(" ", r" (?:\| )?")
+    found = F.regexp_extract_all(normal_text(text), F.lit(rf"(?<=\| )(?:{every})(?= \|)"), F.lit(0))
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (s, k)))
-    ids = F.filter(F.transform(normal_sentences(text), lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("| "), F.lit(""))))
     return F.when(F.rlike(text, F.lit(HINT)), ids).otherwise(F.array().cast("array<string>"))
 
 
@@ -105,7 +119,8 @@ def licences(ids: Column) -> Column:
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each input row: doc_id, n_sentences (known ones), sentence_ids, licenses and license_class.
 
-    Sentences end at line breaks and at punctuation before white space. license_class is the strictest class of the
+    Sentences end at line breaks and at punctuation before white space; known ones may also be wrapped over lines, with
+    comment marks. license_class is the strictest class of the
     licences found, none without any. Everything happens within a row. Null and empty texts have no sentence; null
     and repeated ids stay, a row for each.
     """

@@ -187,3 +187,54 @@ def test_a_rejected_document_keeps_no_line_from_others(spark):
     out = {r.doc_id: r for r in quality.line_rules(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").collect()}
     assert out[0].base_failed and out[0].n_left_chars == 0
     assert [i for i in out if out[i].kept] == [1] and not out[1].gone_lines
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ISC_TEXT = """Copyright 2020 Some One
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL_TEXT = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+
+
+def licences_of(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: (r.licenses, r.license_class) for r in licenses.scan(df, "doc_id", "text").collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_wrapped_licences(spark):
+    plain = [MIT_TEXT, BSD_TEXT, ISC_TEXT, GPL_TEXT]
+    texts = list(plain)
+    for mark in ("# ", " * ", "// ", ";; ", "; ", "dnl "):
+        texts += ["\n".join((mark + x).rstrip() for x in t.split("\n")) for t in plain]
+    texts += [t.replace("\n", "\r\n") for t in plain]
+    want = [("MIT", "permissive"), ("BSD-2-Clause", "permissive"), ("ISC", "permissive"), ("GPL-2.0-or-later", "copyleft")]
+    assert licences_of(spark, texts) == want * (len(texts) // 4)
