@@ -238,3 +238,33 @@ def test_wrapped_licences(spark):
     texts += [t.replace("\n", "\r\n") for t in plain]
     want = [("MIT", "permissive"), ("BSD-2-Clause", "permissive"), ("ISC", "permissive"), ("GPL-2.0-or-later", "copyleft")]
     assert licences_of(spark, texts) == want * (len(texts) // 4)
+
+
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+"""
+
+
+def test_other_forms_of_licences(spark):
+    want = {
+        "This project is licensed under the MIT License.": ("MIT", "permissive"),
+        "Foo is licensed under the MIT license - see the [LICENSE](LICENSE) file for details.": ("MIT", "permissive"),
+        "This file is licensed under CC BY 4.0": ("CC-BY-4.0", "permissive"),
+        "This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 3.0 Unported License.": ("CC-BY-NC-SA-3.0", "noncommercial"),
+        "Licensed under CC BY-ND 4.0.": ("CC-BY-ND-4.0", "noderivatives"),
+        "Copyright 2020 X, all rights reserved": ("All-Rights-Reserved", "reserved"),
+        "// SPDX-License-Identifier: LGPL-2.1-or-later": ("LGPL-2.1-or-later", "copyleft"),
+        "/* SPDX-License-Identifier: GPL-2.0+ OR MIT */": ("MIT,GPL-2.0-or-later", "copyleft"),
+        "# SPDX-License-Identifier: Apache-2.0\nimport os": ("Apache-2.0", "permissive"),
+        "Released under the terms of the GNU Affero General Public License v3.0.": ("AGPL-3.0-only", "copyleft"),
+        "This program is made available under the Eclipse Public License 2.0": ("EPL-2.0", "copyleft"),
+        "Distributed under the GPLv3 or later": ("GPL-3.0-or-later", "copyleft"),
+        "Distributed under the LGPL 2.1": ("LGPL-2.1-only", "copyleft"),
+        GPL_TEXT.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1"): ("LGPL-2.1-or-later", "copyleft"),
+        "Nothing is licensed under the MIT License here": ("", "none"),
+        "It was sold under a license of its own.": ("", "none"),
+    }
+    assert dict(zip(want, licences_of(spark, list(want)), strict=True)) == want
+    df = spark.createDataFrame([(1, MIT_TEXT + "\n" + AS_IS, "en", "s")], SCHEMA)
+    assert licenses.scan(df, "doc_id", "text").first().sentence_ids == "mit.grant mit.notice as-is"
