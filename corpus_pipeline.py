@@ -27,8 +27,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them."""
-    drawn = mixing.mix(docs, "doc_id", "text", "source").select(F.col("row_key").alias("key"))
+    """Documents as often as the mixture draws them, in its order."""
+    drawn = mixing.mix(docs, "doc_id", "text", "source").select(F.col("row_key").alias("key"), "epoch", "position")
     return dedup.rows_drawn(docs, drawn)
 
 

@@ -68,6 +68,14 @@ def test_stages_against_brute_force(spark, tmp_path, plain):  # noqa: F811
         before = after
 
 
+def test_mixed_documents_lie_in_the_order_of_the_mixture(spark):
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 60), "en", "big" if i < 60 else "small") for i in range(70)]
+    ids = [r.doc_id for r in corpus_pipeline.mixed(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    again = [i for i, n in Counter(ids).items() if n > 1]
+    assert again and len(set(ids[: len(set(ids))])) == len(set(ids))  # every document once before any comes again
+
+
 def test_run_is_the_stages(spark, tmp_path):
     folder = write(corpus(spark), tmp_path)
     assert corpus_pipeline.run(spark, folder).count() > 0
