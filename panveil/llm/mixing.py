@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -12,10 +13,13 @@ from panveil.llm.common import col, cut, row_key, running, whole
 
 #: Sources are settings, not data: their totals, a row each, come to the driver. More than this is an error.
 MAX_SOURCES = 100_000
+#: Where doubling ends: sources that differ by a millionth are apart by then, and equal ones never are.
+MAX_EXPONENT = 2.0**24
 
 
 def weights(shares: Sequence[float], exponent: float) -> list[float]:
-    powers = [s**exponent if s > 0 else 0.0 for s in shares]
+    unit = max(shares) if exponent > 1 else 1.0  # so that the greatest of high powers is 1 and not 0
+    powers = [(s / unit) ** exponent if s > 0 else 0.0 for s in shares]
     total = sum(powers)
     return [p / total for p in powers]
 
@@ -25,27 +29,37 @@ def entropy(ps: Sequence[float]) -> float:
 
 
 def find_exponent(totals: Sequence[int], budget: float, target_entropy: float | None, max_repeats: float | None, steps: int = 60) -> float:
-    """The exponent within 0 to 1 nearest to 0, that is to even weights, that meets the limits.
+    """The exponent nearest to 0, that is to even weights, that meets the limits.
 
-    Entropy falls and the greatest repetition falls as the exponent grows. target_entropy is a fraction of that of
-    even weights, which may not be exceeded; max_repeats is the number of times that any source may be read. Limits
-    that not even the exponent 1 meets give 1, the corpus as it is.
+    Entropy falls as the exponent grows, and the greatest repetition falls up to 1 and grows beyond. target_entropy is a
+    fraction of that of even weights, which may not be exceeded; it takes an exponent above 1 where the corpus itself
+    exceeds it. max_repeats is the number of times that any source may be read. Limits that no exponent meets, as
+    where all sources are equal, give 1, the corpus as it is, and a warning.
     """
     total = sum(totals)
     shares = [n / total for n in totals]
     even = math.log(sum(n > 0 for n in totals)) if total else 0.0
 
+    def calm(a: float) -> bool:
+        return target_entropy is None or entropy(weights(shares, a)) <= target_entropy * even + 1e-12
+
     def meets(a: float) -> bool:
         ws = weights(shares, a)
-        calm = target_entropy is None or entropy(ws) <= target_entropy * even + 1e-12
-        return calm and (max_repeats is None or max(w * budget / n for w, n in zip(ws, totals, strict=True) if n) <= max_repeats + 1e-12)
+        return calm(a) and (max_repeats is None or max(w * budget / n for w, n in zip(ws, totals, strict=True) if n) <= max_repeats + 1e-12)
 
     if meets(0.0):
         return 0.0
     low, high = 0.0, 1.0
+    while not calm(high) and high < MAX_EXPONENT:
+        low, high = high, 2 * high
+    # Beyond 1 repetition grows, so the least exponent that meets the entropy is the one that may meet both.
+    holds = meets if high == 1.0 else calm
     for _ in range(steps):
         mid = (low + high) / 2
-        low, high = (low, mid) if meets(mid) else (mid, high)
+        low, high = (low, mid) if holds(mid) else (mid, high)
+    if not meets(high):
+        warnings.warn(f"no exponent meets an entropy of {target_entropy} and {max_repeats} repeats; the corpus is left as it is", stacklevel=2)
+        return 1.0
     return high
 
 

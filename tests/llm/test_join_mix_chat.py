@@ -148,6 +148,18 @@ def test_exponent_meets_its_limits():
     assert mixing.find_exponent([5], 5, 0.9, 2.0) == 1.0 or mixing.find_exponent([5], 5, 0.9, 2.0) == 0.0
 
 
+def test_exponents_above_one():
+    totals = [30, 25, 20, 15, 10]
+    a = mixing.find_exponent(totals, 100, 0.95, 2.0)
+    ws = mixing.weights([n / 100 for n in totals], a)
+    assert 1.0 < a < 1.2 and mixing.entropy(ws) == pytest.approx(0.95 * math.log(5), abs=1e-9)
+    near = [20_010, 20_000, 20_000, 20_000, 19_990]  # needs a high power, and then repeats the largest source too often
+    assert mixing.find_exponent(near, 100_000, 0.95, None) > 100
+    for totals, repeats in ((near, 1.01), ([5, 5, 5], None)):
+        with pytest.warns(UserWarning, match="no exponent"):
+            assert mixing.find_exponent(totals, sum(totals), 0.95, repeats) == 1.0
+
+
 def check_mix(df, **options):
     rows = [(r.doc_id, r.source, len((r.text or "").split()) + 1 if (r.text or "").strip(" \t\n\x0b\x0c\r") else 1) for r in df.collect()]
     totals = {}
