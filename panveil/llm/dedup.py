@@ -82,14 +82,18 @@ def rows_of(df: DataFrame, keys: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def rows_drawn(df: DataFrame, draws: DataFrame) -> DataFrame:
-    """A row of df for each row of draws with its row_key in column key, sorted by position and, within one, by a hash.
+    """A row of df for each row of draws with its row_key in column key. Equal rows of df are one another's stand-ins.
 
-    draws has epoch and position besides. Equal rows of df are one another's stand-ins. Rows are sorted by ranges, so no
-    position meets in one task.
+    If draws has epoch and position too, rows are sorted by position and, within one, by a hash. They are sorted by ranges,
+    so no position meets in one task.
     """
+    ordered = "position" in draws.columns
+    at = F.struct("position", F.xxhash64("epoch", "key").alias("turn")) if ordered else F.struct(F.lit(0).alias("position"))
     packed = df.select(row_key(df).alias("key"), F.struct(*(col(c) for c in df.columns)).alias("row"))
-    times = draws.groupBy("key").agg(F.collect_list(F.struct("position", F.xxhash64("epoch", "key").alias("turn"))).alias("times"))
+    times = draws.groupBy("key").agg(F.collect_list(at).alias("times"))
     found = packed.join(times, "key").groupBy("key").agg(F.first("row").alias("row"), F.first("times").alias("times"))
-    placed = found.select("row", F.explode("times").alias("at")).select("row", "at.position", "at.turn")
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(n, "position", "turn").sortWithinPartitions("position", "turn").select("row.*")
+    placed = found.select("row", F.explode("times").alias("at"))
+    if ordered:
+        n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        placed = placed.select("row", "at.position", "at.turn").repartitionByRange(n, "position", "turn").sortWithinPartitions("position", "turn")
+    return placed.select("row.*")
