@@ -1,6 +1,6 @@
 """Column -> Column builders. All are Spark built-ins: no Python worker runs for any of them."""
 
-from panveil.functions.digits import GLYPHS, RUN, MAX_SHOWN, MAX_TYPED, contains_run, runs
+from panveil.functions.digits import GLYPHS, RUN, MAX_SHOWN, MAX_TYPED, contains_run, glyph_fits, glyph_offered, runs
 from panveil.functions.display import (
     detected_caption,
     digit_glyphs,
@@ -20,7 +20,7 @@ from panveil.functions.mask import mask_number, mask_runs
 
 __all__ = [
     "GLYPHS", "MAX_SHOWN", "MAX_TYPED", "RUN", "MaskMode", "accept_typed", "brand", "can_commit", "clamp_keep",
-    "contains_run", "count_runs", "detected_caption", "digit_glyphs", "first_digits", "group4", "hero",
+    "contains_run", "count_runs", "detected_caption", "digit_glyphs", "first_digits", "glyph_fits", "glyph_offered", "group4", "hero",
     "hero_compact", "keep_columns", "keep_counts", "layout_x", "luhn_badge", "luhn_ok", "mask_number", "mask_runs",
     "reveal_caption", "route_shared", "runs", "shared_text", "slider", "tail_mask", "to_grouped_offset",
     "to_plain_offset", "update_kind", "update_resume",

@@ -16,6 +16,9 @@ GLYPHS = ("*", "•", "#", "x", "$", "!", "@", "%", "^", "&")
 # Counting and masking treat any decimal digit of the basic plane as a digit; detection is ASCII only.
 DIGIT = r"[\p{Nd}&&[\x{0}-\x{FFFF}]]"
 OTHER = r"[\P{Nd}\x{10000}-\x{10FFFF}]"
+# One character of the basic plane, and one that is no digit.
+ANY_GLYPH = r"(?s)\A[\x{0}-\x{FFFF}]\z"
+GLYPH = r"(?s)\A[\x{0}-\x{FFFF}&&[^\p{Nd}]]\z"
 
 # Digits of the basic plane beyond ASCII, and what each is worth.
 WIDE = "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd")
@@ -41,10 +44,20 @@ def checked_glyph(glyph: str, allow_digit: bool = False) -> str:
     return glyph
 
 
+def glyph_fits(glyph: Column, allow_digit: bool = False) -> Column:
+    """What checked_glyph asks of a literal, for a column; false for NULL."""
+    return F.coalesce(F.rlike(glyph, F.lit(ANY_GLYPH if allow_digit else GLYPH)), F.lit(False))
+
+
+def glyph_offered(glyph: ColumnLike) -> Column:
+    """Whether the glyph is one of GLYPHS, those that a user may pick; masking itself takes any that fits. NULL for NULL."""
+    return as_col(glyph).isin(*GLYPHS)
+
+
 def replacement(glyph: Column | str, allow_digit: bool = False) -> Column:
-    """The glyph as replacement text for regexp_replace, in which $ and \\ have a meaning of their own."""
+    """The glyph as replacement text for regexp_replace, in which $ and \\ have a meaning of their own. NULL for a column's unfit glyphs."""
     if isinstance(glyph, Column):
-        return F.regexp_replace(glyph, r"([\\$])", r"\\$1")
+        return F.when(glyph_fits(glyph, allow_digit), F.regexp_replace(glyph, r"([\\$])", r"\\$1"))
     g = checked_glyph(glyph, allow_digit)
     return F.lit("\\" + g if g in "\\$" else g)
 

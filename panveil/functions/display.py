@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panveil.functions.digits import ColumnLike, as_col
+from panveil.functions.digits import DIGIT, ColumnLike, as_col
 from panveil.functions.keep import MaskMode
 
 
@@ -24,18 +24,25 @@ def hero(number: ColumnLike) -> Column:
 
 
 def digit_glyphs(number: ColumnLike) -> Column:
-    """array<struct<pos,ch,kept>>: a character is kept if it is a digit; empty for an empty text."""
+    """array<struct<pos,ch,kept>>: a character is kept if it is a digit of any script; empty for an empty text."""
     c = as_col(number)
-    marked = F.transform(F.split(c, ""), lambda ch, i: F.struct(i.alias("pos"), ch.alias("ch"), F.rlike(ch, F.lit("^[0-9]$")).alias("kept")))
+    marked = F.transform(F.split(c, ""), lambda ch, i: F.struct(i.alias("pos"), ch.alias("ch"), F.rlike(ch, F.lit(f"^{DIGIT}$")).alias("kept")))
     return F.filter(marked, lambda g: g["ch"] != "")
 
 
-def to_grouped_offset(offset: Column) -> Column:
+def _offset(n: ColumnLike | int) -> Column:
+    return F.lit(n) if isinstance(n, int) else as_col(n)
+
+
+def to_grouped_offset(offset: ColumnLike | int) -> Column:
     """Cursor offset in the plain text -> offset in the grouped text."""
+    offset = _offset(offset)
     return F.when(offset <= 0, F.lit(0)).otherwise(offset + F.floor((offset - 1) / 4)).cast("int")
 
 
-def to_plain_offset(offset: Column) -> Column:
+def to_plain_offset(offset: ColumnLike | int) -> Column:
+    """Cursor offset in the grouped text -> offset in the plain text."""
+    offset = _offset(offset)
     return F.when(offset <= 0, F.lit(0)).otherwise(offset - F.floor(offset / 5)).cast("int")
 
 
@@ -48,6 +55,7 @@ def layout_x(number: ColumnLike, start: float = 90.0, width: float = 1.0) -> Col
 
 
 def reveal_caption(mode: Column | MaskMode, keep_n: Column | int) -> Column:
+    # The captions.
     m = mode if isinstance(mode, Column) else F.lit(mode.value)
     n = keep_n if isinstance(keep_n, Column) else F.lit(keep_n)
     return (
@@ -59,4 +67,5 @@ def reveal_caption(mode: Column | MaskMode, keep_n: Column | int) -> Column:
 
 
 def detected_caption(count: Column) -> Column:
+    # Fixed value: the caption.
     return F.concat(count.cast("string"), F.lit(" card number(s) detected"))

@@ -51,6 +51,10 @@ def update_kind(available: Column, priority: Column, days: Column, immediate_ok:
 
 
 def update_resume(last_kind: Column, status: Column) -> Column:
-    """What to do on return: notify of a finished download, restart an update under way, or NULL."""
+    """What to do on return: notify of a finished download, restart an update under way, or NULL.
+
+    status stands for two things that the caller asks about in turn: DOWNLOADED is a state of the installation, and
+    matters to a flexible update only; IN_PROGRESS is one of the update's availability, and matters to an immediate one.
+    """
     kind = F.coalesce(last_kind, F.lit("FLEXIBLE"))
     return F.when((kind == "FLEXIBLE") & (status == "DOWNLOADED"), "notify").when((kind == "IMMEDIATE") & (status == "IN_PROGRESS"), "restart")

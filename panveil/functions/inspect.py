@@ -34,6 +34,7 @@ def brand(number: ColumnLike) -> Column:
     two, four = F.substring(d, 1, 2), F.substring(d, 1, 4)
     value = F.translate(four, WIDE, WORTH)
     head = F.substring(value, 1, 2)
+    # The labels and the prefixes of each, first match first.
     label = (
         F.when(d.startswith("4"), "VISA")
         .when(head.between("51", "55") & (F.length(head) == 2), "MASTERCARD")

@@ -11,6 +11,7 @@ from panveil.functions.digits import MAX_SHOWN, as_int
 
 
 class MaskMode(Enum):
+    # The names of the modes.
     LAST = "LAST"
     FIRST = "FIRST"
     FIRST6_LAST4 = "FIRST6_LAST4"

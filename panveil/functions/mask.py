@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panveil.functions.digits import DIGIT, MAX_SHOWN, OTHER, RUN, ColumnLike, as_col, as_int, checked_glyph, replacement
+from panveil.functions.digits import DIGIT, MAX_SHOWN, OTHER, RUN, ColumnLike, as_col, as_int, checked_glyph, glyph_fits, let, replacement
 from panveil.functions.keep import clamp_keep, clamp_run
 
 
-def _hide(c: Column, repl: Column, lead: Column, trail: Column) -> Column:
-    """Digits become the glyph, but for the first lead and the last trail ones."""
-    head = F.call_function("regexp_extract", c, F.concat(F.lit(f"^(?:{OTHER}*{DIGIT}){{"), lead, F.lit("}")), F.lit(0))
+def _hide(c: Column, repl: Column, lead: int, trail: int) -> Column:
+    """Digits become the glyph, but for the first lead and the last trail ones, by one pattern for all rows."""
+    head = F.regexp_extract(c, f"^(?:{OTHER}*{DIGIT}){{{lead}}}", 0)
     rest = F.substr(c, F.length(head) + 1)
-    return F.concat(head, F.regexp_replace(rest, F.concat(F.lit(f"{DIGIT}(?=(?:{OTHER}*{DIGIT}){{"), trail, F.lit("})")), repl))
+    return F.concat(head, F.regexp_replace(rest, F.lit(f"{DIGIT}(?=(?:{OTHER}*{DIGIT}){{{trail}}})"), repl))
+
+
+def _hide_each(c: Column, glyph: Column, n: Column, lead: Column, trail: Column) -> Column:
+    """The same for counts that differ from row to row, by the places of the digits: a pattern for each row would be compiled for each."""
+    digits = F.regexp_extract_all(c, F.lit(f"({DIGIT})"), F.lit(1))
+    shown = let(F.struct(lead.alias("lead"), (n - trail).alias("tail")), lambda k: F.transform(digits, lambda d, i: F.when((i < k["lead"]) | (i >= k["tail"]), d).otherwise(glyph)))
+    return F.array_join(F.zip_with(F.split(c, DIGIT, -1), shown, lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), "")
 
 
 def mask_number(
@@ -22,16 +29,17 @@ def mask_number(
     """One number with all but its first lead and last trail digits replaced by glyph.
 
     Keep counts are clamped to ten digits and to one less than there are. Other characters stay, so the length
-    does. Text without a digit stays as it is, and NULL gives NULL. Not idempotent: masked digits count no more.
+    does. Text without a digit stays as it is, and NULL gives NULL, as does a glyph of a column that is not one
+    character of the basic plane or, unless allow_digit, a digit. Not idempotent: masked digits count no more.
     """
     c, repl = as_col(number), replacement(glyph, allow_digit)
     n = F.regexp_count(c, F.lit(DIGIT))
-    few = _hide(c, repl, *(x.cast("string") for x in clamp_keep(n, lead, trail)))
+    few = _hide_each(c, glyph if isinstance(glyph, Column) else F.lit(glyph), n, *clamp_keep(n, lead, trail))
     if isinstance(lead, Column) or isinstance(trail, Column):
-        return F.when(n == 0, c).otherwise(few)
-    # Beyond ten digits the clamp no longer depends on the row, so one compiled pattern serves them all.
-    many = _hide(c, repl, *(F.lit(str(x)) for x in clamp_run(lead, trail)))
-    return F.when(n > MAX_SHOWN, many).when(n > 0, few).otherwise(c)
+        masked = F.when(n == 0, c).otherwise(few)
+    else:  # beyond ten digits the clamp no longer depends on the row, so one compiled pattern serves them all
+        masked = F.when(n > MAX_SHOWN, _hide(c, repl, *clamp_run(lead, trail))).when(n > 0, few).otherwise(c)
+    return F.when(glyph_fits(glyph, allow_digit), masked) if isinstance(glyph, Column) else masked
 
 
 def _mask_run(run: Column, glyph: Column | str, lead: Column, trail: Column) -> Column:
@@ -44,7 +52,7 @@ def _mask_run(run: Column, glyph: Column | str, lead: Column, trail: Column) ->
 def mask_runs(
     text: ColumnLike, glyph: Column | str = "*", lead: Column | int = 0, trail: Column | int = 4, allow_digit: bool = False
 ) -> Column:
-    """Every run in the text masked like mask_number; all other text stays, and NULL gives NULL.
+    """Every run in the text masked like mask_number; all other text stays, and NULL gives NULL, as does a column's unfit glyph.
 
     A run has 12 digits at least, so its clamp is the same for every run. The ten-digit limit holds for each run
     that the pattern finds, not for longer stretches of digits, of which what follows the 19th digit may stay.
@@ -62,4 +70,5 @@ def mask_runs(
         F.regexp_extract_all(c, F.lit(f"({RUN})"), F.lit(1)),
         lambda gap, run: F.concat(gap, F.coalesce(_mask_run(run, glyph, *keep), F.lit(""))),
     )
-    return F.when(F.rlike(c, F.lit(RUN)), F.array_join(pieces, "")).otherwise(c)
+    masked = F.when(F.rlike(c, F.lit(RUN)), F.array_join(pieces, "")).otherwise(c)
+    return F.when(glyph_fits(glyph, allow_digit), masked) if isinstance(glyph, Column) else masked

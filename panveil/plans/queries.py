@@ -17,6 +17,7 @@ from panveil.functions import (
     detected_caption,
     digit_glyphs,
     first_digits,
+    glyph_offered,
     group4,
     hero,
     keep_columns,
@@ -119,6 +120,27 @@ def _kept(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.size(F.filter("g", lambda x: x["kept"])).cast("long").alias("n_kept"), F.size("g").cast("long").alias("n_glyphs"))
 
 
+def _glyph_column() -> Column:
+    """Glyphs that are offered, some that fit though they are not, and some that do not fit."""
+    return F.element_at(F.array(*(F.lit(g) for g in _GLYPHS)), (F.col("o_orderkey") % len(_GLYPHS)).cast("int") + 1)
+
+
+def _glyphs_by_row(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "orders").select("o_orderkey", _pan().alias("pan"), _glyph_column().alias("glyph"))
+    return rows.select("o_orderkey", mask_number("pan", F.col("glyph"), 6, 4).alias("masked"), mask_runs("pan", F.col("glyph"), 0, 4).alias("runs"), glyph_offered("glyph").alias("offered"))
+
+
+def _wide() -> Column:
+    return F.translate(_pan(), "0123456789", _WIDE_DIGITS)
+
+
+def _wide_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers in Arabic-Indic digits: masked, and which characters of the result are kept."""
+    rows = read_table(spark, d, "orders").select("o_orderkey", mask_number(_wide(), "*", 6, 4).alias("masked"), count_runs(_wide()).alias("n_cards"))
+    kept = F.array_join(F.transform(F.filter(digit_glyphs("masked"), lambda g: g["kept"]), lambda g: g["pos"].cast("string")), ",")
+    return rows.select("o_orderkey", "masked", "n_cards", kept.alias("kept"))
+
+
 def _updates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     days = F.when(k % 5 != 0, (k % 100).cast("int"))
@@ -127,6 +149,9 @@ def _updates(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), update_resume(kind, status).alias("resume"))
 
 
+_GLYPHS = ("*", "•", "#", "x", "$", "!", "@", "%", "^", "&", "\\", "y", "ab", "", "7", "٣", "\U0001f600")
+_WIDE_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+
 QUERIES: dict[str, Query] = {
     "flagship_screen_documents": flagship,
     "mask_runs_last4": _texts("documents", "doc_id", "text", masked=lambda c: mask_runs(c, "*", 0, 4)),
@@ -142,6 +167,9 @@ QUERIES: dict[str, Query] = {
     "mask_number_overlarge": _pans(masked=lambda c: mask_number(c, "$", 16, 2**31 - 1)),
     "mask_number_negative": _pans(masked=lambda c: mask_number(c, "•", -3, -1)),
     "mask_number_per_row": _per_row,
+    "mask_number_glyph_column": _glyphs_by_row,
+    "mask_number_defaults": _pans(masked=mask_number, runs=mask_runs),
+    "wide_digits": _wide_digits,
     "keep_settings": _settings,
     "brand": _pans(brand=brand),
     "luhn": _pans(luhn=luhn_ok, badge=luhn_badge),
@@ -154,6 +182,7 @@ QUERIES: dict[str, Query] = {
     "route_shared_text": lambda s, d: _texts("documents", "doc_id", "text", r=route_shared)(s, d).select("doc_id", "r.*"),
     "share_intents": _shares,
     "legacy_tail": _pans(masked=lambda c: tail_mask(c, 4)),
+    "legacy_tail_large": _pans(masked=lambda c: tail_mask(F.repeat(c, F.lit(400)), 5000)),
     "legacy_tail_short": _pans(masked=lambda c: tail_mask(F.concat(F.substring(c, 1, 6), F.lit("-"), F.substring(c, 7, 99)), 12, "#")),
     "update_policy": _updates,
     "runs_by_lang": _runs_by_lang,
@@ -245,6 +274,16 @@ ORACLE: dict[str, str] = {
     "mask_number_per_row": _order(
         _sql_pan("#", f"(CASE {_MODE} WHEN 'LAST' THEN 0 WHEN 'FIRST' THEN o_orderkey % 11 ELSE 6 END)", f"(CASE {_MODE} WHEN 'LAST' THEN o_orderkey % 11 WHEN 'FIRST' THEN 0 ELSE 4 END)") + " AS masked"
     ),
+    "mask_number_glyph_column": (
+        f"SELECT o_orderkey, CASE WHEN fits THEN replace({_sql_pan('~', '6', '4')}, '~', g) END AS masked, CASE WHEN fits THEN replace({_sql_runs('~', 0, 4)}, '~', g) END AS runs, k < 10 AS offered "
+        f"FROM (SELECT *, k < 12 AS fits, ({[g for g in _GLYPHS]!r})[k + 1] AS g, {PAN} AS s FROM (SELECT *, (o_orderkey % {len(_GLYPHS)})::int AS k FROM orders))"
+    ).replace("'\\\\'", "'\\'"),
+    "mask_number_defaults": _order(f"{_sql_pan('*', '0', '4')} AS masked, {_sql_runs('*', 0, 4)} AS runs"),
+    "wide_digits": (
+        f"SELECT o_orderkey, translate(m, '0123456789', '{_WIDE_DIGITS}') AS masked, 0::bigint AS n_cards, "
+        "array_to_string(list_filter(range(length(m)), lambda i: m[i + 1] <> '*'), ',') AS kept "
+        f"FROM (SELECT o_orderkey, {_MASKED64} AS m FROM (SELECT *, {PAN} AS s FROM orders))"
+    ),
     "keep_settings": (
         "SELECT o_orderkey, lead, trail, greatest(least(lead, most - greatest(least(trail, most), 0)), 0) AS clamped_lead, greatest(least(trail, most), 0) AS clamped_trail, caption "
         f"FROM (SELECT o_orderkey, ({_LEAD})::bigint AS lead, ({_TRAIL})::bigint AS trail, greatest(least(10, o_orderkey % 20 - 1), 0) AS most, "
@@ -268,6 +307,7 @@ ORACLE: dict[str, str] = {
         f"FROM (SELECT doc_id, {_ROUTE}, {_N} AS n FROM (SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN text END AS s FROM documents))"
     ),
     "legacy_tail": _order(_tail(4, "*")),
+    "legacy_tail_large": _order(f"CASE WHEN length(s) < 5000 THEN s || '{TOO_SHORT.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}' ELSE repeat('*', length(s) - 5000) || right(s, 5000) END AS masked", f"repeat({PAN}, 400)"),
     "legacy_tail_short": _order(_tail(12, "#"), f"({PAN}[1:6] || '-' || {PAN}[7:])"),
     "update_policy": (
         "SELECT o_orderkey, kind, CASE WHEN coalesce(kind, 'FLEXIBLE') = 'FLEXIBLE' AND k % 4 = 0 THEN 'notify' WHEN kind = 'IMMEDIATE' AND k % 4 = 1 THEN 'restart' END AS resume "

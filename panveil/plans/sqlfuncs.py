@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from panveil.functions.digits import DIGIT, MAX_SHOWN, MAX_TYPED, OTHER, RUN, WIDE, WORTH
+from panveil.functions.digits import DIGIT, GLYPH, MAX_SHOWN, MAX_TYPED, OTHER, RUN, WIDE, WORTH
 
+_FITS = f"glyph RLIKE r'{GLYPH}'"
 _QUOTED = r"regexp_replace(glyph, r'([\\$])', r'\\$1')"
 _TRAIL = f"greatest(least(trail, {MAX_SHOWN}), 0)"
 _LEAD = f"greatest(least(lead, {MAX_SHOWN} - {_TRAIL}), 0)"
@@ -33,11 +34,11 @@ FUNCTIONS = {
         f"WHEN startswith({_D}, '6011') OR startswith({_D}, '65') THEN 'DISCOVER' ELSE 'CARD' END"
     ),
     "pan_mask(pan STRING, glyph STRING, lead INT, trail INT) RETURNS STRING": (
-        f"CASE WHEN regexp_count(pan, r'{DIGIT}') = 0 THEN pan ELSE concat({_HEAD}, "
+        f"CASE WHEN NOT coalesce({_FITS}, false) THEN NULL WHEN regexp_count(pan, r'{DIGIT}') = 0 THEN pan ELSE concat({_HEAD}, "
         f"regexp_replace(substring(pan, length({_HEAD}) + 1), concat(r'{DIGIT}(?=(?:{OTHER}*{DIGIT}){{', {_T}, '}})'), {_QUOTED})) END"
     ),
     "pan_mask_runs(txt STRING, glyph STRING, lead INT, trail INT) RETURNS STRING": (
-        f"CASE WHEN txt RLIKE r'{RUN}' THEN array_join(zip_with(split(txt, r'{RUN}', -1), regexp_extract_all(txt, r'({RUN})', 1), "
+        f"CASE WHEN NOT coalesce({_FITS}, false) THEN NULL WHEN txt RLIKE r'{RUN}' THEN array_join(zip_with(split(txt, r'{RUN}', -1), regexp_extract_all(txt, r'({RUN})', 1), "
         f"(gap, run) -> concat(gap, coalesce(concat(regexp_extract(run, {_PARTS}, 1), "
         f"regexp_replace(regexp_extract(run, {_PARTS}, 2), '[0-9]', {_QUOTED}), regexp_extract(run, {_PARTS}, 3)), ''))), '') ELSE txt END"
     ),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panveil import MaskMode, brand, count_runs, first_digits, group4, hero, keep_counts, luhn_ok, mask_number, mask_runs, tail_mask
 from panveil.functions import GLYPHS, accept_typed, clamp_keep, digit_glyphs, keep_columns, route_shared, slider
 
+# Known vectors, which any implementation has to meet.
 NUMBERS = [
     ("4111111111111111", "*", 0, 10, "******1111111111"),
     ("4111111111111111", "*", 0, 16, "******1111111111"),
@@ -96,6 +97,7 @@ def test_display_and_ingest(spark):
     assert one(spark, "1234-56 789", hero) == "1234 5678 9"
     assert [tuple(g) for g in one(spark, "*1", digit_glyphs)] == [(0, "*", False), (1, "1", True)]
     assert one(spark, "", digit_glyphs) == []
+    assert [g.kept for g in one(spark, "*١- 2\U0001d7d8a", digit_glyphs)] == [False, True, False, False, True, False, False]
     assert [one(spark, x, accept_typed) for x in ("1a2", "1" * 19, "1" * 20)] == ["12", "1" * 19, None]
     assert tuple(one(spark, None, route_shared)) == ("single", "", "")
     both = "4111111111111111, 378282246310005"
@@ -108,6 +110,36 @@ def test_legacy(spark):
     assert one(spark, None, lambda c: tail_mask(c, 4)) is None
     with pytest.raises(ValueError):
         tail_mask("x", -1)
+    long = "-12\n345" * 2000
+    for keep in (0, 1, 2000, 6000, 11999, 12000, 2**31 - 1):
+        assert one(spark, long, lambda c, keep=keep: tail_mask(c, keep)) == tail_model(long, "*", "-", keep)
+    for text, ignored, keep in (("a$b$$c", "$", 2), ("-a-b-", "-", 5), ("", "-", 0), ("--", "-", 0), ("a-b", "x", 2), ("xaxbx", "x", 5), ("é\U0001f600^^]x", "^", 1)):
+        assert one(spark, text, lambda c, i=ignored, k=keep: tail_mask(c, k, "\\", i)) == tail_model(text, "\\", ignored, keep)
+
+
+def tail_model(text: str, glyph: str, ignored: str, keep: int) -> str:
+    if len(text) - text.count("-") < keep:
+        return text + " \n\nUnable to Masked due to limit of Card Number"
+    places = [i for i, c in enumerate(text) if c != ignored]
+    gone = set(places[: max(len(places) - keep, 0)])
+    return "".join(glyph if i in gone else c for i, c in enumerate(text))
+
+
+def test_glyph_columns_are_checked(spark):
+    from panveil.functions import glyph_offered
+
+    rows = [("*", True), ("$", True), ("\\", True), ("\n", True), ("ab", False), ("", False), ("7", False), ("٣", False), ("\U0001f600", False), (None, False)]
+    df = spark.createDataFrame(rows, "g string, fits boolean")
+    for r in df.select("*", mask_number(F.lit("1-2 345"), F.col("g"), 1, 1).alias("n"), mask_runs(F.lit("a 411111111111 b"), F.col("g")).alias("r"), glyph_offered("g").alias("o"), mask_number(F.lit("12"), F.col("g"), allow_digit=True).alias("d")).collect():
+        assert r.n == (f"1-{r.g} {r.g}{r.g}5" if r.fits else None) and r.r == (f"a {r.g * 8}1111 b" if r.fits else None)
+        assert r.o == (None if r.g is None else r.g in GLYPHS) and r.d == (f"{r.g}2" if r.fits or r.g in ("7", "٣") else None)
+
+
+def test_offsets_take_names_and_ints(spark):
+    from panveil.functions import to_grouped_offset, to_plain_offset
+
+    df = spark.createDataFrame([(6,)], "o int").select(to_grouped_offset("o"), to_grouped_offset(6), to_plain_offset("o"), to_plain_offset(F.col("o")))
+    assert tuple(df.first()) == (7, 7, 5, 5)
 
 
 def test_glyph_is_checked():

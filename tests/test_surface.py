@@ -23,9 +23,9 @@ def test_sql_functions_equal_the_columns(spark):
     register(spark)
     spark.createDataFrame([(t,) for t in TEXTS], "t string").createOrReplaceTempView("sql_texts")
     got = spark.sql(
-        "SELECT pan_mask(t, '$', 6, 4), pan_mask_runs(t, '$', 6, 4), pan_count(t), pan_first_digits(t), pan_brand(t), pan_luhn(t), pan_group4(t), pan_hero(t) FROM sql_texts"
+        "SELECT pan_mask(t, '$', 6, 4), pan_mask_runs(t, '$', 6, 4), pan_count(t), pan_first_digits(t), pan_brand(t), pan_luhn(t), pan_group4(t), pan_hero(t), pan_mask(t, 'ab', 6, 4), pan_mask_runs(t, '7', 6, 4) FROM sql_texts"
     ).collect()
-    want = spark.table("sql_texts").select(mask_number("t", "$", 6, 4), mask_runs("t", "$", 6, 4), count_runs("t"), first_digits("t"), brand("t"), luhn_ok("t"), group4("t"), hero("t")).collect()
+    want = spark.table("sql_texts").select(mask_number("t", "$", 6, 4), mask_runs("t", "$", 6, 4), count_runs("t"), first_digits("t"), brand("t"), luhn_ok("t"), group4("t"), hero("t"), F.lit(None), F.lit(None)).collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
@@ -49,6 +49,8 @@ def test_shares_and_sinks(spark, tmp_path):
     for fmt in ("parquet", "json", "orc", "csv"):
         write_masked(df, str(tmp_path / fmt), fmt)
         assert spark.read.format(fmt).load(str(tmp_path / fmt)).count() == 3
+    write_masked(df.select(mask_runs(F.lit(TEXTS[0])).alias("text")).limit(1), str(tmp_path / "text"), "text")
+    assert [r.text for r in read_texts(spark, str(tmp_path / "text")).collect()] == ["************1111 and ***********0005"]
 
 
 def test_inventory(spark):
