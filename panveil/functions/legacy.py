@@ -12,17 +12,24 @@ from panveil.functions.digits import ColumnLike, as_col, checked_glyph, let, rep
 # Fixed value: what follows an account that is too short.
 TOO_SHORT = " \n\nUnable to Masked due to limit of Card Number"
 
+#: Up to this many characters are counted by the pattern, which is faster but takes stack for each; beyond it by their places.
+COUNTED = 64
+
 
 def tail_mask(account: ColumnLike, keep: int, glyph: str = "*", ignored: str = "-") -> Column:
     """All but the last keep characters replaced, ignored ones passed through and not counted.
 
     An account with fewer than keep characters, hyphens apart, comes back with a message appended. keep may be as large
-    as an int is: what is hidden is found by the places of characters, not by a pattern that counts them.
+    as an int is.
     """
     if keep < 0:
         raise ValueError("keep is 0 or more")
     c, skip = as_col(account), re.escape(checked_glyph(ignored, allow_digit=True))
-    counted = F.filter(F.transform(F.split(c, ""), lambda ch, i: F.when((ch != ignored) & (ch != ""), i + 1)), lambda at: at.isNotNull())
-    cover = lambda head: F.concat(F.regexp_replace(F.substr(c, F.lit(1), head), f"[^{skip}]", replacement(glyph, allow_digit=True)), F.substr(c, head + 1))
-    hidden = let(counted, lambda at: F.when(F.size(at) > keep, let(F.get(at, F.size(at) - keep - 1), cover)).otherwise(c))
+    repl = replacement(glyph, allow_digit=True)
+    if keep <= COUNTED:
+        hidden = F.regexp_replace(c, F.lit(f"[^{skip}](?=(?:{skip}*[^{skip}]){{{keep}}})"), repl)
+    else:
+        counted = F.filter(F.transform(F.split(c, ""), lambda ch, i: F.when((ch != ignored) & (ch != ""), i + 1)), lambda at: at.isNotNull())
+        cover = lambda head: F.concat(F.regexp_replace(F.substr(c, F.lit(1), head), f"[^{skip}]", repl), F.substr(c, head + 1))
+        hidden = let(counted, lambda at: F.when(F.size(at) > keep, let(F.get(at, F.size(at) - keep - 1), cover)).otherwise(c))
     return F.when(F.length(F.replace(c, F.lit("-"), F.lit(""))) < keep, F.concat(c, F.lit(TOO_SHORT))).otherwise(hidden)

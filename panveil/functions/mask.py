@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +11,32 @@ from panveil.functions.digits import DIGIT, MAX_SHOWN, OTHER, RUN, ColumnLike, a
 from panveil.functions.keep import clamp_keep, clamp_run
 
 
+def _head(c: Column, lead: int) -> Column:
+    return F.regexp_extract(c, f"^(?:{OTHER}*{DIGIT}){{{lead}}}", 0)
+
+
+def _covered(rest: Column, repl: Column, trail: int) -> Column:
+    return F.regexp_replace(rest, F.lit(f"{DIGIT}(?=(?:{OTHER}*{DIGIT}){{{trail}}})"), repl)
+
+
 def _hide(c: Column, repl: Column, lead: int, trail: int) -> Column:
-    """Digits become the glyph, but for the first lead and the last trail ones, by one pattern for all rows."""
-    head = F.regexp_extract(c, f"^(?:{OTHER}*{DIGIT}){{{lead}}}", 0)
-    rest = F.substr(c, F.length(head) + 1)
-    return F.concat(head, F.regexp_replace(rest, F.lit(f"{DIGIT}(?=(?:{OTHER}*{DIGIT}){{{trail}}})"), repl))
+    """Digits become the glyph, but for the first lead and the last trail ones."""
+    head = _head(c, lead)
+    return F.concat(head, _covered(F.substr(c, F.length(head) + 1), repl, trail))
+
+
+def _choice(n: Column, of: Callable[[int], Column]) -> Column:
+    out = F.when(n == 0, of(0))
+    for k in range(1, MAX_SHOWN + 1):
+        out = out.when(n == k, of(k))
+    return out
 
 
-def _hide_each(c: Column, glyph: Column, n: Column, lead: Column, trail: Column) -> Column:
-    """The same for counts that differ from row to row, by the places of the digits: a pattern for each row would be compiled for each."""
-    digits = F.regexp_extract_all(c, F.lit(f"({DIGIT})"), F.lit(1))
-    shown = let(F.struct(lead.alias("lead"), (n - trail).alias("tail")), lambda k: F.transform(digits, lambda d, i: F.when((i < k["lead"]) | (i >= k["tail"]), d).otherwise(glyph)))
-    return F.array_join(F.zip_with(F.split(c, DIGIT, -1), shown, lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), "")
+def _hide_each(c: Column, repl: Column, lead: Column, trail: Column) -> Column:
+    """The same for clamped counts that differ from row to row. Each has a constant pattern: one made of a row would be compiled for it."""
+    covered = lambda rest, k: _choice(k["trail"], lambda n: _covered(rest, repl, n))
+    parts = lambda k: let(_choice(k["lead"], lambda n: _head(c, n) if n else F.lit("")), lambda h: F.concat(h, let(F.substr(c, F.length(h) + 1), lambda rest: covered(rest, k))))
+    return let(F.struct(lead.alias("lead"), trail.alias("trail")), parts)
 
 
 def mask_number(
@@ -34,11 +50,11 @@ def mask_number(
     """
     c, repl = as_col(number), replacement(glyph, allow_digit)
     n = F.regexp_count(c, F.lit(DIGIT))
-    few = _hide_each(c, glyph if isinstance(glyph, Column) else F.lit(glyph), n, *clamp_keep(n, lead, trail))
+    few = lambda n: F.when(n > 0, _hide_each(c, repl, *clamp_keep(n, lead, trail))).otherwise(c)
     if isinstance(lead, Column) or isinstance(trail, Column):
-        masked = F.when(n == 0, c).otherwise(few)
+        masked = let(n, few)
     else:  # beyond ten digits the clamp no longer depends on the row, so one compiled pattern serves them all
-        masked = F.when(n > MAX_SHOWN, _hide(c, repl, *clamp_run(lead, trail))).when(n > 0, few).otherwise(c)
+        masked = F.when(n > MAX_SHOWN, _hide(c, repl, *clamp_run(lead, trail))).otherwise(let(n, few))
     return F.when(glyph_fits(glyph, allow_digit), masked) if isinstance(glyph, Column) else masked
 
 

@@ -111,9 +111,9 @@ def test_legacy(spark):
     with pytest.raises(ValueError):
         tail_mask("x", -1)
     long = "-12\n345" * 2000
-    for keep in (0, 1, 2000, 6000, 11999, 12000, 2**31 - 1):
+    for keep in (0, 1, 64, 65, 2000, 6000, 11999, 12000, 2**31 - 1):
         assert one(spark, long, lambda c, keep=keep: tail_mask(c, keep)) == tail_model(long, "*", "-", keep)
-    for text, ignored, keep in (("a$b$$c", "$", 2), ("-a-b-", "-", 5), ("", "-", 0), ("--", "-", 0), ("a-b", "x", 2), ("xaxbx", "x", 5), ("é\U0001f600^^]x", "^", 1)):
+    for text, ignored, keep in (("a$b$$c", "$", 2), ("-a-b-", "-", 5), ("", "-", 0), ("--", "-", 0), ("a-b", "x", 2), ("xaxbx", "x", 5), ("a\n-b" * 99, "-", 65), ("é\U0001f600^^]x", "^", 1)):
         assert one(spark, text, lambda c, i=ignored, k=keep: tail_mask(c, k, "\\", i)) == tail_model(text, "\\", ignored, keep)
 
 
