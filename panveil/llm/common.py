@@ -7,6 +7,8 @@ the input neither clash nor pass through.
 from __future__ import annotations
 
 import atexit
+import logging
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -14,15 +16,24 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Of the map of bits by which rows are sifted: 16 MiB.
+FILTER_BITS = 1 << 27
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's if that is unset.
+
+    Without either, a temporary folder serves where driver and executors are one process; anywhere else it is an error,
+    since a folder of the driver's own is out of the executors' reach.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -31,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder: computed once, safe when executors are lost."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    _written.append((df.sparkSession, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()))
+    return out
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -49,14 +62,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def release() -> None:
-    """Deletes the tables and archives that operators wrote; their results can't be read any more after that."""
+    """Deletes the tables, checkpoints and archives that operators wrote; their results can't be read any more after that.
+
+    One that can't be deleted is logged and the others go on. Those of a session that has stopped stay where they are.
+    """
     while _written:
         spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:
+            continue
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone
-            return
+        except Exception:
+            logging.getLogger(__name__).warning("%s was not deleted", path, exc_info=True)
 
 
 atexit.register(release)
@@ -83,11 +101,30 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A 128-bit key of a whole row. Rows that are equal in every column share it, and nothing tells those apart."""
-    a, b = hash128(*(F.to_json(F.struct(col(n))) if kind.startswith(("map", "variant")) else col(n) for n, kind in df.dtypes))
+    """A 128-bit key of a whole row. Rows that are equal in every column share it, and nothing tells those apart.
+
+    Columns that hold a map or a variant, at any depth, count by their JSON, as Spark doesn't hash them.
+    """
+    a, b = hash128(*(F.to_json(F.struct(col(n))) if "map<" in kind or "variant" in kind else col(n) for n, kind in df.dtypes))
     return F.struct(a.alias("a"), b.alias("b"))
 
 
+def sifted(df: DataFrame, hash_of: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose 64-bit hash is in column h of keys, and a few others; for use before a shuffle of wide rows.
+
+    keys have to be cut, and set a bit each of a map of 16 bits a key and FILTER_BITS at most. That is 16 MiB, which is
+    what is broadcast at most. So many more keys than an eighth of that let more rows through, but none is ever lost.
+    """
+    page = 32_768  # bits of a bitmap
+    bits = page * max(1, min(FILTER_BITS // page, math.ceil(16 * keys.count() / page)))
+    spot = lambda h: F.pmod(h, F.lit(bits).cast("long"))
+    found = keys.select(spot(F.col("h")).alias("s")).groupBy(F.expr(f"s div {page}").alias("_page")).agg(F.bitmap_construct_agg(F.col("s") % page).alias("_bits"))
+    at = F.expr(f"cast(_spot % {page} as int)")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_spot % {page} as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    placed = df.withColumn("_spot", spot(hash_of)).join(F.broadcast(found), F.expr(f"_spot div {page} = _page"))
+    return placed.where(F.getbit(byte, at % 8) == 1).drop("_spot", "_page", "_bits")
+
+
 def prefix_sums(values: Column) -> Column:
     """Running sums of an array of longs, each without its own term, plus the total as the last item.
 

@@ -22,24 +22,23 @@ QUALITY = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, row_number() OVER () AS r,
     list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda w: w <> '') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^{SPACE}]')) AS ls FROM documents),
+    list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: {{'l': l, 'i': i - 1}}), lambda x: regexp_matches(x.l, '[^{SPACE}]')) AS ls FROM documents),
 w3 AS (SELECT r, i, ws[i:i + 2] AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM d)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM w3) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
-lines AS (SELECT r, doc_id, host, t, length(l) AS size, {_LINE} AS line FROM (SELECT r, doc_id, host, t, unnest(ls) AS l FROM d)),
-spread AS (SELECT host, line, count(DISTINCT t) AS documents, arg_min(t, doc_id) AS stays FROM lines GROUP BY host, line),
-hosts AS (SELECT host, count(DISTINCT t) AS of FROM d GROUP BY host),
-frequent AS (SELECT host, line, stays FROM spread JOIN hosts USING (host) WHERE documents > 50 AND documents * 100 > of * 1.0),
-gone AS (SELECT r, sum(size) AS gone FROM lines JOIN frequent USING (host, line) WHERE t <> stays GROUP BY r),
+base AS (SELECT d.*, coalesce(covered.n, 0)::bigint AS n_repeat_words, len(ws)::bigint AS n_words,
+    len(ws) < 50 OR coalesce(covered.n, 0) * 100 > len(ws) * 50 AS bad FROM d LEFT JOIN covered USING (r)),
+lines AS (SELECT r, doc_id, host, t, bad, place, length(l) AS size, {_LINE} AS line FROM (SELECT r, doc_id, host, t, bad, x.l AS l, x.i AS place FROM (SELECT r, doc_id, host, t, bad, unnest(ls) AS x FROM base))),
+frequent AS (SELECT host, line, arg_min(t, (bad, doc_id)) AS stays FROM lines GROUP BY host, line HAVING count(DISTINCT t) > 50),
+gone AS (SELECT r, sum(size) AS gone, string_agg(place, ',' ORDER BY place) AS places FROM lines JOIN frequent USING (host, line) WHERE t <> stays GROUP BY r),
 counted AS (
-  SELECT d.r, doc_id, len(ws)::bigint AS n_words, length(regexp_replace(t, '[{SPACE}]', '', 'g'))::bigint AS word_chars,
-    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, (len(ls) - len(list_distinct(ls)))::bigint AS n_dup_lines,
-    coalesce(covered.n, 0)::bigint AS n_repeat_words, coalesce(list_sum(list_transform(ls, lambda l: length(l))), 0)::bigint AS n_line_chars,
-    coalesce(gone, 0)::bigint AS gone
-  FROM d LEFT JOIN covered USING (r) LEFT JOIN gone USING (r))
+  SELECT r, doc_id, bad, n_words, n_repeat_words, length(regexp_replace(t, '[{SPACE}]', '', 'g'))::bigint AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, (len(ls) - len(list_distinct(list_transform(ls, lambda x: x.l))))::bigint AS n_dup_lines,
+    coalesce(list_sum(list_transform(ls, lambda x: length(x.l))), 0)::bigint AS n_line_chars, coalesce(gone, 0)::bigint AS gone, coalesce(places, '') AS gone_lines
+  FROM base LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed,
-  NOT bad AND NOT (n_line_chars - gone) * 100 < n_line_chars * 20 AS kept, (n_line_chars - gone)::bigint AS n_left_chars
-FROM (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS bad FROM counted)
+  NOT bad AND NOT (n_line_chars - gone) * 100 < n_line_chars * 20 AS kept, (n_line_chars - gone)::bigint AS n_left_chars, gone_lines
+FROM counted
 """
 
 _ESCAPED = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,18 +126,35 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
+
+
+def token_count(text: Column, tokenizer: str) -> Column:
+    """How many ids tokenized() gives a text, the one for its end included; a null text is empty."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        kinds = pa.table([texts], names=["text"]).to_batches()
+        encoder = _encoder(tokenizer)
+        return pa.array([len(ids) // 4 + 1 for batch in kinds for part in _slices(batch, 0) for ids in encoder(part.column(0))], pa.int64())
+
+    return count(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def tokenized(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """First pass: part, at (ids before it in its part), doc_id, n, ids; stored, since no later pass repeats it."""
     kind = df.select(col(id_col)).schema[0].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, at, end = Encoder(tokenizer), TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
+        encoder, part, at, end = _encoder(tokenizer), TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         for batch in batches:
             for piece in _slices(batch, 1):
                 ids = [x + end for x in encoder(piece.column(1))]

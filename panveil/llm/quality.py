@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panveil.llm.common import col, cut, let, row_key, whole
+from panveil.llm.common import col, cut, hash128, let, row_key, whole
 
 # What separates words, and which characters are symbols.
 SPACE = r"\x20\x09-\x0D"
@@ -61,39 +61,42 @@ def line_rules(
     min_left_percent is left is depleted and rejected, and so is one that fails a rule of its own: fewer than min_words
     words, or more than max_repeat_percent of them in repeated 3-word windows.
 
-    Null text has no words and fails; null hosts are one host; null ids come first. No group of a host or line meets
-    in one task: counts are combined before each shuffle. Rows that are equal get equal results.
+    Texts and lines are told apart by 128 bits. Null text has no words and fails; null hosts are one host; null ids come
+    first. No group of a host or line meets in one task: counts are combined before each shuffle. Rows that are equal get
+    equal results. A very long text is held with its words and lines by the task that reads it. No rows, no result.
     """
     text = whole(text_col)
     solid = lambda line: F.trim(line, F.lit(SPACES)) != ""
     read = df.select(
         row_key(df).alias("row_key"), col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), col(host_col).cast("string")), F.lit("")).alias("host"),
-        text.alias("text"), F.xxhash64(text).alias("content"), words_of(text).alias("words"),
+        text.alias("text"), words_of(text).alias("words"),
         F.split(text, "\n").alias("all_lines"), F.filter(F.split(text, "\n"), solid).alias("lines"),
     )
+    c1, c2 = hash128(F.col("text"))
     flat = lambda line: F.regexp_replace(F.trim(F.lower(line), F.lit(SPACES)), f"[{SPACE}]+", " ")
     counted = read.select(
-        "row_key", "doc_id", "host", "content", F.monotonically_increasing_id().alias("row"),
+        "row_key", "doc_id", "host", c1.alias("c1"), c2.alias("c2"), F.monotonically_increasing_id().alias("row"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         # Of all lines, so that places count blank ones too, which have neither hash nor size.
-        F.transform("all_lines", lambda x: F.when(solid(x), F.xxhash64(flat(x)))).alias("hashes"), F.transform("all_lines", lambda x: F.when(solid(x), F.length(x)).otherwise(0)).alias("sizes"),
+        F.transform("all_lines", lambda x: F.when(solid(x), let(flat(x), lambda f: F.struct(*(h.alias(n) for h, n in zip(hash128(f), ("h1", "h2"), strict=True)))))).alias("hashes"),
+        F.transform("all_lines", lambda x: F.when(solid(x), F.length(x)).otherwise(0)).alias("sizes"),
     )
     documents = cut(counted)
     line = F.posexplode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("sizes").alias("size"))).alias("place", "line")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    lines = documents.select("row", "doc_id", "host", "content", failed.alias("failed"), line).where("line.hash IS NOT NULL")
-    lines = lines.select("row", "doc_id", "host", "content", "failed", "place", "line.hash", "line.size")
-    held = lines.groupBy("host", "hash", "content").agg(F.min(F.struct("failed", "doc_id", "content")).alias("first"))
-    spread = held.groupBy("host", "hash").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
+    lines = documents.select("row", "doc_id", "host", "c1", "c2", failed.alias("failed"), line).where("line.hash IS NOT NULL")
+    lines = lines.select("row", "doc_id", "host", "c1", "c2", "failed", "place", "line.hash.h1", "line.hash.h2", "line.size")
+    held = lines.groupBy("host", "h1", "h2", "c1", "c2").agg(F.min(F.struct("failed", "doc_id", "c1", "c2")).alias("first"))
+    spread = held.groupBy("host", "h1", "h2").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
     frequent = spread.where(F.col("documents") > min_documents)
     if max_percent is not None:
-        hosts = documents.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
+        hosts = documents.groupBy("host", "c1", "c2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
         frequent = frequent.join(hosts, "host").where(F.col("documents") * 100 > F.col("of") * max_percent)
-    gone = lines.join(frequent.select("host", "hash", F.col("first.content").alias("stays")), ["host", "hash"]).where("content != stays")
+    gone = lines.join(frequent.select("host", "h1", "h2", "first"), ["host", "h1", "h2"]).where("c1 != first.c1 OR c2 != first.c2")
     gone = gone.groupBy("row").agg(F.sum("size").alias("gone"), F.sort_array(F.collect_list("place")).alias("gone_lines"))
     all_chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     left = documents.join(gone, "row", "left").withColumn("n_line_chars", all_chars).withColumn("n_left_chars", F.col("n_line_chars") - F.coalesce("gone", F.lit(0)))
@@ -108,7 +111,8 @@ def line_rules(
 def clean(df: DataFrame, id_col: str, text_col: str, host_col: str, chars_col: str | None = None, **limits) -> DataFrame:
     """The input rows that line_rules keeps, with all their columns; texts are without the lines that are removed.
 
-    chars_col, if given and there, is the length of the new text where lines are removed. limits are those of line_rules.
+    Null texts and those without words fail its rules and go; of rows that are equal all stay or none. Text without a line
+    to remove is not touched. No rows, no result. chars_col, if given and there, is the length of the new text where lines are removed. limits are those of line_rules.
     """
     kept = line_rules(df, id_col, text_col, host_col, **limits).where("kept").select(F.col("row_key").alias("key"), "gone_lines")
     # Equal rows share a key and lose the same lines. A cut, so that the join shuffles for itself and can be split.

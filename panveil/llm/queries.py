@@ -34,7 +34,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("row_key")
+    tokens = pack.token_count(F.col("text"), tokenizer_path())
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", tokens=tokens).drop("row_key")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("gone_lines", "row_key")
+    judged = quality.line_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("row_key")
+    return judged.withColumn("gone_lines", F.array_join(F.transform("gone_lines", lambda p: p.cast("string")), ","))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panveil.llm.common import col, cut, let, prefix_sums, whole
+from panveil.llm.common import col, cut, hash128, let, prefix_sums, whole
 
 # The kinds in their order, each with its pattern, the group that is the value, and its least length.
 _WORDS = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
@@ -54,19 +54,21 @@ def ownership(df: DataFrame, id_col: str, text_col: str, repo_cols: list[str], o
     """One row for each input row: doc_id, base (spans by pattern), added (spans by ownership), n_live, n_copied.
 
     Each candidate's SHA-256 is counted over the whole corpus by distinct owners and distinct repositories. A value is
-    owner-specific if max_owners at most hold it in max_repos repositories at most. Spans by pattern all stay; n_live
+    owner-specific if max_owners at most hold it in max_repos repositories at most. A repository is a distinct value of
+    repo_cols within an owner, so one that two owners hold counts for each. Spans by pattern all stay; n_live
     of them are owner-specific and do not look like examples, n_copied are in more hands. Long opaque runs that no
     pattern names are added as spans where they are owner-specific and look live: what many share is no secret. They may overlap
     spans by pattern.
 
     Texts are read once. Only spans and hashes move after that, and counts are combined before each shuffle, so that a
     value in a third of all rows costs a row for each task. Null text is empty; null owners are one owner, as are null
-    repositories; null and repeated ids stay, a row for each.
+    repositories; null and repeated ids stay, a row for each, and copies of a text under several owners count for each.
+    A very long text is searched as a whole, by patterns that take no stack for its length. No rows, no result.
     """
     base = F.concat(*(spans_of(F.col("text"), k, n) for n, k in enumerate(KINDS)))
     read = df.select(
         col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), col(owner_col).cast("string")), F.lit("")).alias("owner"),
-        F.xxhash64(*(x for c in repo_cols for x in (col(c), col(c).isNull()))).alias("repo"), whole(text_col).alias("text"),
+        F.struct(*hash128(*map(col, repo_cols))).alias("repo"), whole(text_col).alias("text"),
     )
     hashed = lambda spans, base_span: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), F.unhex(F.sha2(s["value"], 256)).alias("hash"), _live_looking(s["value"]).alias("live"), F.lit(base_span).alias("base")))
     found = read.select("doc_id", "owner", "repo", F.monotonically_increasing_id().alias("row"), F.sort_array(F.concat(hashed(base, True), hashed(spans_of(F.col("text"), OPAQUE, len(KINDS)), False))).alias("spans"))

@@ -120,6 +120,31 @@ def test_archives_round_trip(spark):
     assert warc.read_selected(warc.write_archives(df.where("false"), "page_id", "url", "html")).count() == 0
 
 
+def test_ids_of_any_kind(spark):
+    rows = [("~", "u", "a"), ("=", "u", "b"), (None, "u", "c"), ("", "u", "d"), ("a b %", "u", "a"), ("~", "u", "a")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    out = warc.read_selected(warc.write_archives(df, "page_id", "url", "html")).collect()
+    assert Counter(r.page_id for r in out) == Counter(r[0] for r in rows)
+    assert {(r.page_id, r.refers_to) for r in out if r.record_type == "revisit"} <= {("a b %", "~"), ("~", "~")}
+
+
+def test_stores(spark, tmp_path):
+    def in_folder(folder):
+        from pyarrow import fs
+
+        return fs.LocalFileSystem(), folder.partition("://")[2]
+
+    assert warc.arrow_uri("s3a://bucket/a") == "s3://bucket/a"
+    assert [warc.arrow_uri(f) for f in ("hdfs://n:8020/a", "file:///a", "file:/a", "/a")] == ["hdfs://n:8020/a", "file:///a", "file:///a", "file:///a"]
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    for folder in ("viewfs://n/a", "fake://x", "a/b"):
+        with pytest.raises(ValueError):
+            warc.write_archives(df, "page_id", "url", "html", folder=folder)
+    index = warc.write_archives(df, "page_id", "url", "html", folder=f"fake://{tmp_path}/archives", open_store=in_folder)
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_selected(index, open_store=in_folder).collect())
+    assert got == brute_pages(df.collect(), 0) and list((tmp_path / "archives").glob("*.warc.gz"))
+
+
 def test_records_are_whole_members(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     index = warc.write_archives(df, "page_id", "url", "html").collect()
@@ -140,7 +165,7 @@ def test_damage_is_reported(spark):
     df = spark.createDataFrame([(1, "u", "payload " * 100)], "page_id long, url string, html string")
     index = warc.write_archives(df, "page_id", "url", "html")
     row = index.first()
-    warc_record = warc.record("response", "1 0", "u", b"other", 800, row.digest, "", "2026-01-01T00:00:00Z")
+    warc_record = warc.record("response", "=1 0", "u", b"other", 800, row.digest, "", "2026-01-01T00:00:00Z")
     with open(row.file, "wb") as f:
         f.write(warc_record)
     moved = index.selectExpr("page_id", "url", "digest", "file", "0L as offset", f"{len(warc_record)}L as length", "block", "folder")
