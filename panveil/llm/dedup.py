@@ -32,28 +32,30 @@ def exact_dedup(
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, and the input row's row_key.
 
     Rows are grouped by a 128-bit hash of the normalised text; keep, smallest or largest, says which id of a group
-    stays. Another job groups by hash and text together, copies combined before the shuffle, and finds hashes under
-    which two texts differ. For those, if any, groups are formed by the bytes themselves.
+    stays. Another job groups by hash and text together, copies combined before the shuffle, and finds hashes under which two texts differ. For those, if any, groups are formed by
+    the bytes themselves.
 
-    Null text is empty text. A null id stays only if its group has no other. Of rows with the same id and text, the
-    one with the greatest row_key stays, and of rows equal in every column one, chosen freely. No rows, no result.
+    Null text is empty text. A null id stays only if its group has no other; ids are of any type that sorts. Of rows with
+    the same id and text, the one with the greatest row_key stays (the least, if the smallest id does), and of rows equal
+    in every column one, chosen freely. Texts of any length count as a whole. No rows, no result.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
-    rank = col(id_col) if keep == "largest" else -col(id_col)  # a null sorts below all else
     norm = normalise(whole(text_col))
-    texts = df.select(row_key(df).alias("key"), col(id_col).alias("id"), rank.alias("rank"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    texts = df.select(row_key(df).alias("key"), col(id_col).alias("id"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
     texts = texts.withColumn("hash", content_hash(F.col("sha"), F.col("norm"))).withColumn("row", F.monotonically_increasing_id())
     narrow = cut(texts.drop("norm"))
-    mixed = cut(texts.groupBy("hash", "norm").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash"))
+    compared = texts.groupBy("hash", "norm").agg(F.count("*").alias("n"))
+    mixed = cut(compared.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash"))
     if mixed.isEmpty():
-        return _grouped(narrow, ["hash"])
+        return _grouped(narrow, ["hash"], keep)
     apart = cut(texts.join(mixed, "hash", "left_semi"))
-    return _grouped(narrow.join(mixed, "hash", "left_anti"), ["hash"]).unionByName(_grouped(apart, ["hash", "norm"]))
+    return _grouped(narrow.join(mixed, "hash", "left_anti"), ["hash"], keep).unionByName(_grouped(apart, ["hash", "norm"], keep))
 
 
-def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
-    best = F.max(F.struct("rank", "key", "row", "id"))
+def _grouped(rows: DataFrame, by: list[str], keep: str) -> DataFrame:
+    # A null sorts below all else, so among the smallest it has to be put last.
+    best = F.max(F.struct("id", "key", "row")) if keep == "largest" else F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "row"))
     # A cut, so that the join shuffles for itself and a large group's rows can be split over tasks.
     groups = cut(rows.groupBy(*by).agg(best.alias("best"), F.count("*").alias("n")).where("n > 1"))
     return rows.join(groups, by, "left").select(
@@ -85,15 +87,17 @@ def rows_drawn(df: DataFrame, draws: DataFrame) -> DataFrame:
     """A row of df for each row of draws with its row_key in column key. Equal rows of df are one another's stand-ins.
 
     If draws has epoch and position too, rows are sorted by position and, within one, by a hash. They are sorted by ranges,
-    so no position meets in one task.
+    so no position meets in one task, nor do the draws of rows that are equal: those are counted before they are shuffled,
+    and written out one by one.
     """
     ordered = "position" in draws.columns
-    at = F.struct("position", F.xxhash64("epoch", "key").alias("turn")) if ordered else F.struct(F.lit(0).alias("position"))
+    at = [F.col("position"), F.xxhash64("epoch", "key").alias("turn")] if ordered else []
     packed = df.select(row_key(df).alias("key"), F.struct(*(col(c) for c in df.columns)).alias("row"))
-    times = draws.groupBy("key").agg(F.collect_list(at).alias("times"))
-    found = packed.join(times, "key").groupBy("key").agg(F.first("row").alias("row"), F.first("times").alias("times"))
-    placed = found.select("row", F.explode("times").alias("at"))
+    packed = packed.groupBy("key").agg(F.first("row").alias("row"))
+    times = draws.select("key", *at).groupBy("key", *(["position", "turn"] if ordered else [])).agg(F.count("*").alias("times"))
+    placed = packed.join(times, "key").withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
     if ordered:
         n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        placed = placed.select("row", "at.position", "at.turn").repartitionByRange(n, "position", "turn").sortWithinPartitions("position", "turn")
+        by = ["position", "turn", "copy"]
+        placed = placed.select("row", *by).repartitionByRange(n, *by).sortWithinPartitions(*by)
     return placed.select("row.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import SCHEMA, awkward, empty, prose
 
 from panveil.llm import dedup, shard
+from panveil.llm.common import cut, sifted
 
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -46,6 +47,25 @@ def test_colliding_hashes_are_told_apart_by_bytes(spark):
     check_dedup(awkward(spark), "smallest", content_hash=lambda digest, norm: F.lit(b"\0"))
 
 
+def test_ids_of_any_kind(spark):
+    ids = F.when(F.col("doc_id") == 2, -(2**63)).otherwise(F.col("doc_id"))
+    nested = awkward(spark).withColumns({"m": F.array(F.create_map(F.lit("k"), F.col("text"))), "doc_id": ids})
+    for df in (nested, nested.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))):
+        for keep in ("smallest", "largest"):
+            check_dedup(df, keep)
+        out = dedup.drop_copies(df, "doc_id", "text")
+        assert out.columns == df.columns and out.count() == len({(r.text or "").translate(TABLE) for r in df.collect()})
+
+
+def test_sifted_loses_nothing(spark):
+    df = spark.range(50_000).select("id", F.xxhash64("id").alias("h"))
+    for step, most in ((1, 50_000), (100, 10_000), (50_000, 100)):
+        keys = cut(df.where(F.col("id") % step == 0).select("h"))
+        out = {r.id for r in sifted(df, F.col("h"), keys).collect()}
+        assert set(range(0, 50_000, step)) <= out and len(out) <= most
+    assert sifted(df, F.col("h"), cut(df.where("false").select("h"))).count() == 0
+
+
 def test_drop_copies_keeps_columns_and_one_row_of_each_text(spark):
     df = awkward(spark)
     out = dedup.drop_copies(df, "doc_id", "text")
