@@ -112,16 +112,18 @@ def row_key(df: DataFrame) -> Column:
 def sifted(df: DataFrame, hash_of: Column, keys: DataFrame) -> DataFrame:
     """The rows of df whose 64-bit hash is in column h of keys, and a few others; for use before a shuffle of wide rows.
 
-    keys have to be cut, and set a bit each of a map of 16 bits a key and FILTER_BITS at most. That is 16 MiB, which is
-    what is broadcast at most. So many more keys than an eighth of that let more rows through, but none is ever lost.
+    keys have to be cut, and set a bit each of a map of 16 bits a key or more and FILTER_BITS at most. That is 16 MiB, which
+    is what is broadcast at most. Many more keys than an eighth of that let more rows through, but none is ever lost.
     """
-    page = 32_768  # bits of a bitmap
-    bits = page * max(1, min(FILTER_BITS // page, math.ceil(16 * keys.count() / page)))
-    spot = lambda h: F.pmod(h, F.lit(bits).cast("long"))
-    found = keys.select(spot(F.col("h")).alias("s")).groupBy(F.expr(f"s div {page}").alias("_page")).agg(F.bitmap_construct_agg(F.col("s") % page).alias("_bits"))
-    at = F.expr(f"cast(_spot % {page} as int)")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_spot % {page} as int) div 8 + 1, 1)")), 16, 10).cast("int")
-    placed = df.withColumn("_spot", spot(hash_of)).join(F.broadcast(found), F.expr(f"_spot div {page} = _page"))
+    page = 15  # bits of the place within a bitmap
+    bits = min(FILTER_BITS, 1 << max(page, math.ceil(math.log2(16 * max(1, keys.count())))))
+    # Made of expressions that are never null, so that the join doesn't work out wide columns once more to look for nulls.
+    spot = lambda h: h.bitwiseAND(F.lit(bits - 1).cast("long"))
+    within = lambda s: s.bitwiseAND(F.lit((1 << page) - 1).cast("long"))
+    found = keys.select(spot(F.col("h")).alias("s")).groupBy(F.shiftright("s", page).alias("_page")).agg(F.bitmap_construct_agg(within(F.col("s"))).alias("_bits"))
+    placed = df.withColumn("_spot", spot(hash_of)).join(F.broadcast(found), F.shiftright("_spot", page) == F.col("_page"))
+    at = within(F.col("_spot")).cast("int")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     return placed.where(F.getbit(byte, at % 8) == 1).drop("_spot", "_page", "_bits")
 
 

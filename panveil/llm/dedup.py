@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panveil.llm.common import col, cut, row_key, whole
+from panveil.llm.common import col, cut, row_key, sifted, whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,8 +32,9 @@ def exact_dedup(
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, and the input row's row_key.
 
     Rows are grouped by a 128-bit hash of the normalised text; keep, smallest or largest, says which id of a group
-    stays. Another job groups by hash and text together, copies combined before the shuffle, and finds hashes under which two texts differ. For those, if any, groups are formed by
-    the bytes themselves.
+    stays. Another job groups the texts of hashes that two rows or more share by hash and text together, copies
+    combined before the shuffle, and finds hashes under which two texts differ. For those, if any, groups are formed by
+    the bytes themselves. A text whose hash is alone is not shuffled, but for the few that sifted() lets through.
 
     Null text is empty text. A null id stays only if its group has no other; ids are of any type that sorts. Of rows with
     the same id and text, the one with the greatest row_key stays (the least, if the smallest id does), and of rows equal
@@ -45,7 +46,8 @@ def exact_dedup(
     texts = df.select(row_key(df).alias("key"), col(id_col).alias("id"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
     texts = texts.withColumn("hash", content_hash(F.col("sha"), F.col("norm"))).withColumn("row", F.monotonically_increasing_id())
     narrow = cut(texts.drop("norm"))
-    compared = texts.groupBy("hash", "norm").agg(F.count("*").alias("n"))
+    shared = cut(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("hash").alias("h")))
+    compared = sifted(texts.select("hash", "norm"), F.xxhash64("hash"), shared).groupBy("hash", "norm").agg(F.count("*").alias("n"))
     mixed = cut(compared.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash"))
     if mixed.isEmpty():
         return _grouped(narrow, ["hash"], keep)
