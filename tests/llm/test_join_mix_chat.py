@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import SCHEMA, awkward, empty, prose, shingles, words
 
 from panveil.llm import chat, jaccard, mixing
-from panveil.llm.common import row_key, running
+from panveil.llm.common import cut, row_key, running
 
 # --- the join ---
 
@@ -108,6 +108,85 @@ def test_recall_near_the_threshold(spark):
     assert pairs >= 300 and out.where("n_links > 0").count() >= 0.99 * 2 * pairs
 
 
+@pytest.mark.parametrize(("n", "shared", "own", "splits"), [(2600, 93, 100, 1), (4500, 109, 60, 2), (14000, 150, 55, 3)])
+def test_recall_in_buckets_that_split(spark, monkeypatch, n, shared, own, splits):
+    """Texts that share a passage, so that buckets are too large, and pairs near the threshold among them; parameters as in production."""
+    rng = random.Random(20 + splits)
+    passage, rows, pairs = words(rng, shared), [], []
+    for i in range(n):
+        rows.append((i, " ".join([*passage, *(f"{w}{rng.randrange(10**6)}" for w in words(rng, own))]), "en", "s"))
+    for k in range(300):
+        copy = rows[k][1].split(" ")
+        for e in range(3):
+            copy[shared + 6 + e * 15] = f"edit{k}"
+        copy[shared + 7] = f"more{k}"
+        rows.append((n + k, " ".join(copy), "en", "s"))
+        x, y = shingles(rows[k][1]), shingles(rows[-1][1])
+        assert 0.8 <= len(x & y) / len(x | y) < 0.86
+        pairs.append((k, n + k))
+    levels, spots = [], jaccard._spots
+    monkeypatch.setattr(jaccard, "_spots", lambda large, sets: levels.append(large.count()) or spots(large, sets))
+    out = {r.doc_id: r for r in jaccard.similar(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
+    assert len(levels) >= splits, levels
+    found = sum(out[i].class_id == out[j].class_id == i for i, j in pairs)
+    assert found >= 0.99 * len(pairs) and sum(r.n_links for r in out.values()) == 2 * found
+
+
+def test_alike_sets_meet_in_proportion_to_their_number(spark, monkeypatch):
+    """Texts that differ in one word are all linked; what is sent to groups doesn't grow with the square of their number."""
+    sent, meetings = [], jaccard._meetings
+    monkeypatch.setattr(jaccard, "_meetings", lambda *args: sent.append(cut(meetings(*args)).count()) or meetings(*args))
+    for n in (1500, 3000, 6000):
+        rng = random.Random(31)
+        base = words(rng, 150)
+        rows = [(i, " ".join([*base[: i % 150], f"own{i}", *base[i % 150 + 1 :]]), "en", "s") for i in range(n)]
+        out = jaccard.similar(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").groupBy("class_id", "n_links", "class_size").count().collect()
+        assert [tuple(r) for r in out] == [(0, n - 1, n, n)]
+    assert sent[2] < 3 * sent[1] < 9 * max(sent[0], 1) and sent[2] < 3 * 6000
+
+
+def test_classes_lose_and_invent_no_link(spark, monkeypatch):
+    """Large buckets with sets near a centre, at some distance and far from it, against all pairs."""
+    rng = random.Random(32)
+    base, other, rows = words(rng, 90), words(rng, 60), []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 12])):
+            own[rng.randrange(90)] = f"w{rng.randrange(40)}"
+        rows.append((i, " ".join(own), "en", "s"))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join([*base[:45], *other[: i % 60], *words(rng, 9)]), "en", "s"))
+    rows += [(2000 + i, rows[i][1], "en", "s") for i in range(12)]
+    for bucket, sample, depth in ((8, 16, 1), (16, 2, 3), (64, 64, 0)):
+        monkeypatch.setattr(jaccard, "BUCKET", bucket)
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard, "DEPTH", depth)
+        check_join(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_recall_on_documents(spark):
+    """Rows whose id is divisible by 50 against all rows, by an index of all shingles."""
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    sets = {r.doc_id: frozenset(map(hash, shingles(r.text))) for r in df.select("doc_id", "text").collect()}
+    asked, index = [i for i in sets if i % 50 == 0], defaultdict(list)
+    wanted = frozenset().union(*(sets[i] for i in asked))
+    for i, own in sets.items():
+        for x in own & wanted:
+            index[x].append(i)
+    want = {}
+    for i in asked:
+        common = Counter(j for x in sets[i] for j in index[x])
+        want[i] = sum(5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n) for j, n in common.items() if j != i) + (sum(not t for t in sets.values()) - 1 if not sets[i] else 0)
+    got = {r.doc_id: r.n_links for r in jaccard.similar(df, "doc_id", "text").where("doc_id % 50 = 0").collect()}
+    assert all(got[i] <= want[i] for i in asked)
+    assert sum(want.values()) > 50 and sum(got[i] for i in asked) >= 0.99 * sum(want.values())
+
+
 def test_components(spark):
     rng = random.Random(11)
     links = [(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]]
