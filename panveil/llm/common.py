@@ -11,7 +11,8 @@ import logging
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted when it is done, and not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder: computed once, safe when executors are lost."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint()
+    with _tidy(df.sparkSession):
+        out = df.select("*").checkpoint()
     _written.append((df.sparkSession, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()))
     return out
 
@@ -57,7 +71,8 @@ def new_path(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows as a compressed table in the shared folder, for those too large for a plain checkpoint."""
     path = new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
