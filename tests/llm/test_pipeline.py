@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import SCHEMA, awkward, prose, shingles
 from tests.llm.test_pack_warc import plain  # noqa: F401
 from tests.llm.test_scans import brute_counts
@@ -76,6 +77,47 @@ def test_mixed_documents_lie_in_the_order_of_the_mixture(spark):
     assert again and len(set(ids[: len(set(ids))])) == len(set(ids))  # every document once before any comes again
 
 
+def strings(spark):
+    """Awkward rows with ids that are texts, and a column that holds maps."""
+    df = awkward(spark).withColumns({"doc_id": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "n_chars": F.length("text").cast("long")})
+    return df.withColumn("m", F.array(F.struct(F.create_map(F.lit("k"), F.col("text")).alias("of"))))
+
+
+@pytest.mark.parametrize("make", [awkward, strings])
+def test_stages_take_awkward_rows_as_they_are(spark, plain, make):  # noqa: F811
+    docs = make(spark)
+    before = docs.collect()
+    results = {name: stage(spark, docs, "") for name, stage in corpus_pipeline.STAGES}
+    assert all(df.columns == docs.columns for name, df in results.items() if name != "pack")
+    ids = lambda rows: [r.doc_id for r in rows if r.doc_id is not None]
+    assert Counter(map(repr, results["quality"].collect())) == Counter(repr(r) for r in before if not brute_counts(r.text or "")[5])
+    groups = {}
+    for r in before:
+        groups.setdefault((r.text or "").translate(FOLD), []).append(r)
+    want = Counter((min(ids(g), default=None), t) for t, g in groups.items())
+    assert Counter((r.doc_id, (r.text or "").translate(FOLD)) for r in results["exact_dedup"].collect()) == want
+    groups = {}
+    for r in before:
+        groups.setdefault(shingles(r.text), []).append(r)
+    assert Counter(r.doc_id for r in results["near_dedup"].collect()) == Counter(min(ids(g), default=None) for g in groups.values())
+    drawn = results["mix"].collect()
+    assert drawn and set(map(repr, drawn)) <= set(map(repr, before))
+    sizes = Counter()
+    for r in results["pack"].collect():
+        sizes[r.doc_id] += r.length
+    tokens = Counter()
+    for r in before:
+        tokens[r.doc_id] += len(plain(r.text or "")) // 4 + 1
+    assert sizes == tokens
+
+
+def test_stages_take_no_rows(spark):
+    docs = strings(spark).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (name == "pack" or out.columns == docs.columns)
+
+
 def test_run_is_the_stages(spark, tmp_path):
     folder = write(corpus(spark), tmp_path)
     assert corpus_pipeline.run(spark, folder).count() > 0
