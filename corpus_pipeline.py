@@ -3,40 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panveil.llm import dedup, jaccard, mixing, pack, quality
 from panveil.llm.common import stored
-from panveil.llm.queries import END_ID, tokenizer_path
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules of their own and are not depleted of lines that others share, without those lines."""
-    return quality.clean(docs, "doc_id", "text", "source", "n_chars")
-
-
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the same text, letter case of A-Z aside, the one with the smallest id."""
-    return dedup.drop_copies(docs, "doc_id", "text", keep="smallest")
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more, the one with the smallest id."""
-    kept = jaccard.similar(docs, "doc_id", "text").where("kept").select(F.col("row_key").alias("key"))
-    return dedup.rows_of(docs, kept)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them, in its order."""
-    drawn = mixing.mix(docs, "doc_id", "text", "source").select(F.col("row_key").alias("key"), "epoch", "position")
-    return dedup.rows_drawn(docs, drawn)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    pieces = pack.concatenate_and_cut(docs, "doc_id", "text", tokenizer_path(), 2048, END_ID)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
+from panveil.llm.stages import exact_copies, mixed, near_copies, packed, quality_rules
 
 STAGES = [("quality", quality_rules), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mix", mixed), ("pack", packed)]
 #: Neither the join, the mixture nor the tokenizer can be expressed in SQL; tests compare with brute force.
