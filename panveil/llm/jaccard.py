@@ -89,6 +89,7 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         held += n
     if batch.num_rows:
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # the next stage may have other needs
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:

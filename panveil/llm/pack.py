@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PLAIN_TEXT = "^[\\t\\n\\r -~À-ÖØ-öø-įı-ž]*$"
 _PIECE = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-zß-öø-ž0-9]+)"
 _BATCH_BYTES = 16 << 20
+_COUNT_BYTES = 4 << 20  # where only counts are wanted, beside whatever else the task does
 
 
 def _byte_letters() -> dict[int, str]:
@@ -114,11 +114,11 @@ class Encoder:
         return [next(fast) if p else np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes() for p, t in zip(plain.to_pylist(), texts, strict=True)]
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about _BATCH_BYTES of that column, a row at least."""
+def _slices(batch: pa.RecordBatch, column: int, most: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of that column, a row at least."""
     sizes, begin, held = pc.binary_length(batch.column(column)).to_pylist(), 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > _BATCH_BYTES:
+        if held and held + n > most:
             yield batch.slice(begin, i - begin)
             begin, held = i, 0
         held += n
@@ -126,22 +126,23 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-@cache
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, pieces: int = 300_000) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, pieces)
 
 
 def token_count(text: Column, tokenizer: str) -> Column:
     """How many ids tokenized() gives a text, the one for its end included; a null text is empty."""
 
     @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        kinds = pa.table([texts], names=["text"]).to_batches()
-        encoder = _encoder(tokenizer)
-        return pa.array([len(ids) // 4 + 1 for batch in kinds for part in _slices(batch, 0) for ids in encoder(part.column(0))], pa.int64())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(tokenizer, 150_000)
+        for texts in batches:
+            parts = _slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, _COUNT_BYTES)
+            yield pa.array([len(ids) // 4 + 1 for part in parts for ids in encoder(part.column(0))], pa.int64())
+            pa.default_memory_pool().release_unused()
 
     return count(F.coalesce(text.cast("string"), F.lit("")))
 
