@@ -268,3 +268,65 @@ def test_other_forms_of_licences(spark):
     assert dict(zip(want, licences_of(spark, list(want)), strict=True)) == want
     df = spark.createDataFrame([(1, MIT_TEXT + "\n" + AS_IS, "en", "s")], SCHEMA)
     assert licenses.scan(df, "doc_id", "text").first().sentence_ids == "mit.grant mit.notice as-is"
+
+
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD3_TEXT = BSD_TEXT + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL3_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+LGPL_TEXT = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_published_notices_in_comments(spark):
+    want = {
+        APACHE_TEXT: ("Apache-2.0", "permissive"), BSD3_TEXT: ("BSD-3-Clause", "permissive"), GPL3_TEXT: ("GPL-3.0-or-later", "copyleft"),
+        LGPL_TEXT: ("LGPL-2.1-or-later", "copyleft"), GPL3_TEXT.replace("GNU General", "GNU Affero General"): ("AGPL-3.0-or-later", "copyleft"), MPL_TEXT: ("MPL-2.0", "copyleft"),
+    }
+    marks = ("", "# ", " * ", "// ", "-- ", "% ", "rem ")
+    texts = ["\n".join((mark + x).rstrip() for x in t.split("\n")) for mark in marks for t in want]
+    assert licences_of(spark, texts) == list(want.values()) * len(marks)
+
+
+def test_sql_of_line_rules_on_frequent_lines(spark, tmp_path):
+    """Hosts whose frequent lines go, a rejected holder among them, by the query's own SQL."""
+    import duckdb
+
+    from panveil.llm.queries import LLM_ORACLE, LLM_QUERIES
+
+    rng = random.Random(40)
+    rows = []
+    for i in range(180):
+        own = prose(rng, rng.randrange(20, 90)).split("\n")
+        rows.append((i, "\n".join([" A Banner", *own[:1], "", "a  banner ", *own[1:], *(["Seen by some"] * (i % 4 == 0))]) if i % 9 else "A banner\nA banner", "en", f"h{i % 2}" if i % 5 else None))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(LLM_ORACLE["op7_quality"])
+    names = [c[0] for c in result.description]
+    got = LLM_QUERIES["op7_quality"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, result.fetchall()))
+    assert len({r.gone_lines for r in got}) > 2 and not all(r.kept for r in got)
