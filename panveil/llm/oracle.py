@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from panveil.llm import licenses, secrets
-from panveil.llm.quality import SPACE
+
+# Everything here is stated apart from the operators, so that a wrong constant of theirs shows.
+SPACE = r"\x20\x09-\x0D"
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -77,23 +78,107 @@ FROM (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS las
 """
 
 
+# Licence sentences as their publishers write them.
+LICENSE_TEXTS = {
+    "cc-nc.40": "Licensed under CC BY-NC 4.0",
+    "cc-by.40": "Licensed under CC BY 4.0",
+    "cc-sa.40": "Licensed under CC BY-SA 4.0",
+    "cc-nc.long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by.long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-sa.long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc0": "This work is dedicated to the public domain under CC0 1.0",
+    "gpl3.short": "This work is licensed under the GNU General Public License, version 3",
+    "gpl2.short": "This work is licensed under the GNU General Public License, version 2",
+    "gpl.free": "This program is free software",
+    "gpl3.or": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl2.or": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    "gpl.hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl.fitness": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "apache.short": "Licensed under the Apache License, Version 2.0",
+    "apache.the": 'Licensed under the Apache License, Version 2.0 (the "License")',
+    "apache.may": "you may not use this file except in compliance with the License",
+    "apache.obtain": "You may obtain a copy of the License at",
+    "mit.short": "Released under the MIT License",
+    "mit.licensed": "Licensed under the MIT License",
+    "mit.grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    "mit.notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd.grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd.endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mpl.form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
+    "reserved": "All rights reserved",
+}
+# Licences by class, the strictest class first, and the sentences that make each, in the order in which they are tried.
+LICENSE_CLASSES = {
+    "reserved": ["All-Rights-Reserved"],
+    "noncommercial": ["CC-BY-NC-4.0"],
+    "copyleft": ["GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-2.0-only", "MPL-2.0", "CC-BY-SA-4.0"],
+    "permissive": ["BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "Apache-2.0", "CC-BY-4.0", "CC0-1.0", "Unlicense"],
+}
+LICENSE_RULES = [
+    ("BSD-3-Clause", "bsd.grant bsd.source bsd.binary bsd.endorse"),
+    ("BSD-2-Clause", "bsd.grant bsd.source bsd.binary"),
+    ("MIT", "mit.grant mit.notice as-is"),
+    ("MIT", "mit.grant mit.notice"),
+    ("MIT", "mit.short"),
+    ("MIT", "mit.licensed"),
+    ("ISC", "isc.grant"),
+    ("Apache-2.0", "apache.the apache.may apache.obtain"),
+    ("Apache-2.0", "apache.the"),
+    ("Apache-2.0", "apache.short"),
+    ("GPL-3.0-or-later", "gpl.free gpl3.or gpl.hope"),
+    ("GPL-3.0-or-later", "gpl.free gpl3.or"),
+    ("GPL-2.0-or-later", "gpl.free gpl2.or gpl.hope"),
+    ("GPL-2.0-or-later", "gpl.free gpl2.or"),
+    ("GPL-3.0-only", "gpl3.short"),
+    ("GPL-2.0-only", "gpl2.short"),
+    ("MPL-2.0", "mpl.form"),
+    ("CC-BY-NC-4.0", "cc-nc.40"),
+    ("CC-BY-NC-4.0", "cc-nc.long"),
+    ("CC-BY-SA-4.0", "cc-sa.40"),
+    ("CC-BY-SA-4.0", "cc-sa.long"),
+    ("CC-BY-4.0", "cc-by.40"),
+    ("CC-BY-4.0", "cc-by.long"),
+    ("CC0-1.0", "cc0"),
+    ("Unlicense", "unlicense"),
+    ("All-Rights-Reserved", "reserved"),
+]
+
+
 def _licenses() -> str:
-    known = "MAP {" + ", ".join(f"{_quoted(s)}: {_quoted(k)}" for k, s in licenses.SENTENCES.items()) + "}"
+    # "v. 2" is a version, in which no sentence ends.
+    words = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))".format
+    texts = ", ".join(f"({_quoted(k)}, {_quoted(s)})" for k, s in LICENSE_TEXTS.items())
     steps = [
-        f"WITH k AS (SELECT {known} AS known), s AS (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '{licenses.BREAK}'), "
-        "lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS ss FROM documents), "
+        f"WITH k AS (SELECT map_from_entries(list({{'k': {words('s')}, 'v': id}})) AS known FROM (VALUES {texts}) AS v(id, s)), "
+        "s AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '\\b([vV])\\.[ \\t]+([0-9])', '\\1 \\2', 'g'), '[.;:!?]*[\\n\\r]+|[.;:!?]+[ \\t]+'), "
+        f"lambda x: {words('x')}) AS ss FROM documents), "
         "q AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: known[x]), lambda x: x IS NOT NULL) AS ids FROM s, k), "
         "q0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS line, []::varchar[] AS names FROM q)"
     ]
-    for n, (name, _, seq) in enumerate(licenses.RULES):
-        found = f"contains(line, {_quoted(' ' + '  '.join(seq) + ' ')})"
+    for n, (name, seq) in enumerate(LICENSE_RULES):
+        run, name = _quoted(f" {seq.replace(' ', '  ')} "), _quoted(name)
         steps.append(
-            f"q{n + 1} AS (SELECT doc_id, ids, replace(line, {_quoted(' ' + '  '.join(seq) + ' ')}, '|') AS line, "
-            f"CASE WHEN {found} AND NOT list_contains(names, {_quoted(name)}) THEN list_append(names, {_quoted(name)}) ELSE names END AS names FROM q{n})"
+            f"q{n + 1} AS (SELECT doc_id, ids, replace(line, {run}, '|') AS line, "
+            f"CASE WHEN contains(line, {run}) AND NOT list_contains(names, {name}) THEN list_append(names, {name}) ELSE names END AS names FROM q{n})"
         )
-    of = {name: kind for name, kind, _ in licenses.RULES}
-    worst = "CASE " + " ".join(f"WHEN list_has_any(names, [{', '.join(_quoted(n) for n, k in of.items() if k == c)}]) THEN '{c}'" for c in licenses.CLASSES) + " ELSE 'none' END"
-    return ", ".join(steps) + f" SELECT doc_id, len(ids)::bigint AS n_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(names, ',') AS licenses, {worst} AS license_class FROM q{len(licenses.RULES)}"
+    worst = "CASE " + " ".join(f"WHEN list_has_any(names, [{', '.join(map(_quoted, of))}]) THEN '{c}'" for c, of in LICENSE_CLASSES.items()) + " ELSE 'none' END"
+    return ", ".join(steps) + f" SELECT doc_id, len(ids)::bigint AS n_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(names, ',') AS licenses, {worst} AS license_class FROM q{len(LICENSE_RULES)}"
+
+
+# Kinds of secrets in their order, pattern, group of the value, least length; what the method adds; what examples hold.
+_KEYWORDS = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+SECRET_KINDS = [
+    ("assign", rf"""({_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", "([0-9a-f]+)", 1, 24),
+]
+ADDED_KIND = ("opaque", "([0-9A-Za-z_+/=-]+)", 1, 20)
+EXAMPLES = ["example", "sample", "changeme", "change_me", "dummy", "placeholder", "your", "test", "xxxx", "1234567", "abcdef", "redacted", "foobar"]
 
 
 def _spans(kind: tuple[str, str, int, int], number: int, condition: str) -> str:
@@ -109,14 +194,15 @@ def _spans(kind: tuple[str, str, int, int], number: int, condition: str) -> str:
 
 def _secrets() -> str:
     mixed = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"
-    every = " UNION ALL ".join(_spans(k, n, "true") for n, k in enumerate(secrets.KINDS)) + " UNION ALL " + _spans(secrets.OPAQUE, len(secrets.KINDS), mixed)
-    names = "[" + ", ".join(_quoted(k[0]) for k in (*secrets.KINDS, secrets.OPAQUE)) + "]"
+    every = " UNION ALL ".join(_spans(k, n, "true") for n, k in enumerate(SECRET_KINDS)) + " UNION ALL " + _spans(ADDED_KIND, len(SECRET_KINDS), mixed)
+    names = "[" + ", ".join(_quoted(k[0]) for k in (*SECRET_KINDS, ADDED_KIND)) + "]"
+    example = " OR ".join(f"contains(lower(value), {_quoted(e)})" for e in EXAMPLES)
     text = "string_agg(label, ',' ORDER BY \"start\", number, \"end\")"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 s AS ({every}),
 o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) <= 1 AND count(DISTINCT (source, lang)) <= 2 AS own FROM s JOIN d USING (r) GROUP BY value),
-j AS (SELECT r, number, "start", "end", number < {len(secrets.KINDS)} AS base, own, own AND NOT regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) AND len(list_distinct(string_split(value, ''))) >= 8 AS live,
+j AS (SELECT r, number, "start", "end", number < {len(SECRET_KINDS)} AS base, own, own AND NOT ({example}) AND len(list_distinct(string_split(value, ''))) >= 8 AS live,
   {names}[number + 1] || ':' || "start"::bigint || ':' || "end"::bigint AS label FROM s JOIN o USING (value)),
 g AS (SELECT r, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
   {text} FILTER (base) AS base, {text} FILTER (base OR live) AS spans, count(*) FILTER (base AND live) AS n_live, count(*) FILTER (base AND NOT own) AS n_copied FROM j GROUP BY r)

@@ -7,7 +7,7 @@ from tests.llm.helpers import SCHEMA, awkward, empty, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panveil.llm import licenses, quality, secrets
+from panveil.llm import licenses, oracle, quality, secrets
 from panveil.llm.common import prefix_sums
 
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -330,3 +330,20 @@ def test_sql_of_line_rules_on_frequent_lines(spark, tmp_path):
     got = LLM_QUERIES["op7_quality"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, result.fetchall()))
     assert len({r.gone_lines for r in got}) > 2 and not all(r.kept for r in got)
+
+
+def test_every_sentence_and_rule_equals_the_sql(spark):
+    """Of the whole tables, which the SQL states as published and apart from the operator's."""
+    import duckdb
+
+    texts = [*oracle.LICENSE_TEXTS.values(), *(".\n".join(oracle.LICENSE_TEXTS[k] for k in seq.split()) + "." for _, seq in oracle.LICENSE_RULES)]
+    texts += [" ".join(texts), "; ".join(texts), "\n\n".join(reversed(texts)), None, ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    result = con.execute(oracle.ORACLE["op4_licenses"])
+    names = [c[0] for c in result.description]
+    want = {r[0]: r for r in result.fetchall()}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").select(*names).collect()
+    assert {r.doc_id: tuple(r) for r in got} == want
+    assert {r[names.index("licenses")] for r in want.values()} >= {name for name, _ in oracle.LICENSE_RULES}
