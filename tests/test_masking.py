@@ -117,6 +117,21 @@ def test_legacy(spark):
         assert one(spark, text, lambda c, i=ignored, k=keep: tail_mask(c, k, "\\", i)) == tail_model(text, "\\", ignored, keep)
 
 
+def test_legacy_of_long_accounts_makes_no_arrays_of_characters(spark):
+    from panveil.plans.queries import QUERIES
+
+    long = ["1" * 6000, "1-2\n" * 1500, "-" * 3000 + "é\U0001f600" * 3000, "-" * 6000, "12" * 2499 + "-", "x" * 2_000_000 + "-" * 9, "-1" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(long)), "n int, t string").select("n", tail_mask("t", 5000).alias("m"), tail_mask("t", 5000, "$", "x").alias("other"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        assert r.m == tail_model(long[r.n], "*", "-", 5000) and r.other == tail_model(long[r.n], "$", "x", 5000)
+    orders = spark.range(8000).select(F.col("id").alias("o_orderkey")).coalesce(1)
+    folder = spark.conf.get("spark.sql.warehouse.dir") + "/tails"
+    orders.write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    rows = QUERIES["legacy_tail_large"](spark, folder)
+    assert min(n for _, n in rows.groupBy(F.spark_partition_id()).count().collect()) > 500 and rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def tail_model(text: str, glyph: str, ignored: str, keep: int) -> str:
     if len(text) - text.count("-") < keep:
         return text + " \n\nUnable to Masked due to limit of Card Number"
