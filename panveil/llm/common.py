@@ -7,9 +7,11 @@ the input neither clash nor pass through.
 from __future__ import annotations
 
 import atexit
+import gc
 import logging
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 
 #: Of the map of bits by which rows are sifted: 16 MiB.
 FILTER_BITS = 1 << 27
+#: Seconds between two sweeps of the driver at least.
+SWEEP_S = 5.0
 
 _written: list[tuple[SparkSession, str]] = []
+_swept_at = -math.inf
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +57,27 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Has the driver give back what its queries so far have left, once in SWEEP_S at most.
+
+    Operators of many cuts make plans, task metrics and statuses faster than a driver collects them of itself: it takes
+    all of its heap first, on top of what compiled plans and threads take beside it, and keeps it.
+    """
+    global _swept_at
+    if time.monotonic() - _swept_at < SWEEP_S:
+        return
+    gc.collect()  # Python's handles keep objects of the driver's JVM alive
+    spark._jvm.System.gc()
+    _swept_at = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder: computed once, safe when executors are lost."""
     shared_dir(df.sparkSession)
     with _tidy(df.sparkSession):
         out = df.select("*").checkpoint()
     _written.append((df.sparkSession, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()))
+    _sweep(df.sparkSession)
     return out
 
 
@@ -73,6 +93,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     with _tidy(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    _sweep(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

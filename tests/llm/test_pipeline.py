@@ -143,3 +143,14 @@ def test_query_equals_its_sql(spark, name):
     got = LLM_QUERIES[name](spark, str(folder))
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, result.fetchall()))
+
+
+def test_cuts_let_the_driver_drop_what_queries_left(spark, monkeypatch):
+    from panveil.llm import common
+
+    collected = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for write in (common.cut, lambda df: common.stored(df, "swept")):
+        monkeypatch.setattr(common, "_swept_at", float("-inf"), raising=False)
+        before = collected()
+        assert write(spark.range(3)).count() == 3 and collected() == before + 1
+        assert write(spark.range(3)).count() == 3 and collected() == before + 1  # not so soon again
