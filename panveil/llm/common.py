@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,24 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _trim(spark: SparkSession) -> None:
+    """Has the driver's JVM return to the system what it has freed beside its heap, where it has a command for that.
+
+    Compilers, threads and buffers take that from the C library, which keeps it in a pool for each of many threads.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:  # by the interface, as the server's own class is none that others may call
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JJavaError:
+        logging.getLogger(__name__).debug("this JVM can't trim its native heap", exc_info=True)
+
+
 def _sweep(spark: SparkSession) -> None:
     """Has the driver give back what its queries so far have left, once in SWEEP_S at most.
 
@@ -68,6 +87,7 @@ def _sweep(spark: SparkSession) -> None:
         return
     gc.collect()  # Python's handles keep objects of the driver's JVM alive
     spark._jvm.System.gc()
+    _trim(spark)
     _swept_at = time.monotonic()
 
 

@@ -1,6 +1,7 @@
 """The pipeline stage by stage against plain Python, and the queries against their SQL."""
 
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -154,3 +155,30 @@ def test_cuts_let_the_driver_drop_what_queries_left(spark, monkeypatch):
         before = collected()
         assert write(spark.range(3)).count() == 3 and collected() == before + 1
         assert write(spark.range(3)).count() == 3 and collected() == before + 1  # not so soon again
+
+
+def test_cuts_let_the_driver_return_what_it_freed_beside_its_heap(spark, monkeypatch):
+    from panveil.llm import common
+
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def beside() -> int:
+        """MB resident of the JVM's mappings but its heap, which lies at low addresses."""
+        found = re.findall(r"^([0-9a-f]+)-\S+ .*\n(?:[A-Z]\w+: .*\n)*?Rss: +(\d+)", Path(f"/proc/{pid}/smaps").read_text(), re.M)
+        return sum(int(kb) for at, kb in found if int(at, 16) >= 1 << 40) // 1024
+
+    field = spark._jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, size = field.get(None), 64 << 10  # such blocks stay with the C library when freed, if one behind them is in use
+    for write in (common.cut, lambda df: common.stored(df, "swept")):
+        monkeypatch.setattr(common, "_swept_at", float("-inf"))
+        common._sweep(spark)
+        blocks = [unsafe.allocateMemory(size) for _ in range(2400)]
+        for b in blocks:
+            unsafe.setMemory(b, size, 1)
+        for b in blocks[:-1]:
+            unsafe.freeMemory(b)
+        before = beside()
+        monkeypatch.setattr(common, "_swept_at", float("-inf"))
+        assert write(spark.range(3)).count() == 3 and beside() < before - 75
+        unsafe.freeMemory(blocks[-1])
